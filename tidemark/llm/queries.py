@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, repeats, sketches
+from . import chat, curves, mixing, packing, pages, pii, quality, repeats, sketches, voronoi
 from .common import table
 
 
@@ -16,13 +16,51 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_duplicates, op4_chat_formatting, op10_substring_dedup)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_near_duplicates,
+        op3_exact_search,
+        op4_chat_formatting,
+        op5_nearest_neighbours,
+        op6_packing,
+        op7_html_extraction,
+        op8_quality,
+        op9_personal_data,
+        op10_substring_dedup,
+    )
+}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_search": voronoi.ORACLE, "op4_chat_formatting": chat.ORACLE}
