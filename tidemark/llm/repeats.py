@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, columns, rows_out, shuffle_partitions, texts, window_hashes, word_hashes
+from .common import Batches, columns, rows_out, shuffle_partitions, stage, texts, window_hashes, word_hashes
 
 SIZE = 20
 _CHUNK = 2_000_000
@@ -267,8 +267,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     span goes from those of them that hold its words. Other columns of docs play no part.
     """
     rows = texts(docs)
-    placed = rows.where(F.col("doc_id").isNotNull())
-    found = paths(docs, size)
+    # dealt out once: both joins below read the same exchange
+    placed = rows.where(F.col("doc_id").isNotNull()).repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+    found = stage(paths(docs, size))
     wanted = found.select("src", "src_start", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("src_start", "n")).alias("wanted"))
     digests = placed.join(wanted, placed["doc_id"] == wanted["src"]).select("doc_id", "text", "wanted").mapInArrow(_source_digests(size), "src long, src_start int, n int, digest binary").distinct()
     spans = found.join(digests, ["src", "src_start", "n"]).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
