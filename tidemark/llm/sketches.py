@@ -33,6 +33,7 @@ SLACK = 4.5
 #: Further registers of the members of buckets that stay open.
 EXTRA = 896
 _BLOCK = 256
+_FILTER_BITS = 1 << 25
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary()), ("shingles", pa.binary())])
 
 
@@ -159,9 +160,21 @@ def _confirmed(batches: Batches) -> Batches:
         yield rows_out(_PAIR, keep_a, keep_b)
 
 
+def _sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, shingles of the rows whose doc_id is among ids (one long column), and of few others.
+
+    A bitmap of _FILTER_BITS bits (its size is fixed, whatever the input) leaves most other sets out before any shuffle.
+    """
+    h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(_FILTER_BITS))
+    word, bit = F.shiftright(h, 6), (h % 64).cast("int")
+    bits = ids.toDF("doc_id").select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), %d), 64) as int))" % _FILTER_BITS).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    sets = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "shingles", word.alias("word"), bit.alias("at"))
+    return sets.join(F.broadcast(bits), "word").where(F.expr("(shiftrightunsigned(bits, at) & 1L) = 1L")).select("doc_id", "shingles")
+
+
 def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of pairs a, b those whose whole sets are alike enough."""
-    sets = rows.where("n_shingles > 0").select("doc_id", "shingles")
+    sets = _sets_of(pairs.select("a").union(pairs.select("b")), rows)
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long")
 
@@ -217,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = buckets.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("centre"))
     star = stage(buckets.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     few = classes.select("rep", "n", "registers")
-    likely = star.join(few.toDF("a", "na", "ra"), "a").join(few.toDF("b", "nb", "rb"), "b").mapInArrow(_likely, "a long, b long").distinct()
+    likely = stage(star.join(few.toDF("a", "na", "ra"), "a").join(few.toDF("b", "nb", "rb"), "b").mapInArrow(_likely, "a long, b long").distinct())
     links = stage(_links(likely, rows))
     found = components(links)
 
@@ -225,12 +238,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     several = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("total")).where("parts > 1")
     opened = stage(held.join(several.select("key", "total", F.col("most.component").alias("largest")), "key"))
-    sets = rows.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "shingles")
+    sets = _sets_of(opened.select("rep").distinct(), rows).withColumnRenamed("doc_id", "rep")
     longer = opened.select("rep").distinct().join(classes.select("rep", "registers"), "rep").join(sets, "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / _BLOCK))
     member = F.struct("rep", "component", "n", "registers")
     blocks = stage(opened.join(classes.select("rep", "n"), "rep").join(longer, "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members")))
-    pairs = blocks.where("outside").select("key", "band", F.col("members").alias("odd")).join(blocks.select("key", "members"), "key").mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    pairs = stage(blocks.where("outside").select("key", "band", F.col("members").alias("odd")).join(blocks.select("key", "members"), "key").mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
     more = stage(_links(pairs, rows))
     if more.limit(1).count():
         found = components(links.unionByName(more))
