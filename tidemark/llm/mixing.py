@@ -21,7 +21,7 @@ BLOCK = 512
 #: 2^32 divided by the golden ratio, rounded to odd: multiples of it modulo 2^32 are the points.
 _GOLDEN = 2654435769
 _CELL = 20
-_CHUNK = 65536
+_CHUNK = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
