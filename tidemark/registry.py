@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans.queries import ORACLES, QUERIES
+
+FLAGSHIP = "theme_return_rank"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
