@@ -44,19 +44,27 @@ class _Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        """Letters with a full stop or comma behind share the ids of the letters; case of ASCII makes no difference."""
+        """The splitting rule parts letters from marks, so letters with marks behind share the ids of the letters; nor does case count."""
         cut = []
         for w in words:
-            if w.isascii():
-                core, tail = (w[:-1], w[-1:]) if w[-1] in b".," and w[:-1].isalpha() else (w, b"")
-                cut.append((w, core.lower().decode(), tail.decode()))
+            core = w.rstrip(b".,;:!?#$%&*|")
+            text = core.decode()
+            if text.isalpha():
+                cut.append((w, text if "\u03a3" in text or "\u0130" in text else text.lower(), w[len(core) :].decode()))
             else:
                 cut.append((w, w.decode(), ""))
         if len(self.parts) > self.LIMIT:
             self.parts.clear()
         new = list({p for _, a, b in cut for p in (a, b) if p and p not in self.parts})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+        # one call for all, a line each; a token belongs to the line that it starts in
+        encoding = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
+        ids = np.array(encoding.ids, "<u4")
+        starts = np.array(encoding.offsets, np.int64).reshape(-1, 2)[:, 0]
+        lines = np.cumsum([0, *(len(p) + 1 for p in new)])
+        bounds = np.searchsorted(starts, lines)
+        raw = ids.tobytes()
+        for p, lo, hi in zip(new, bounds.tolist(), bounds[1:].tolist(), strict=False):
+            self.parts[p] = raw[4 * lo : 4 * hi]
         for w, a, b in cut:
             self.words[w] = self.parts[a] + self.parts[b] if b else self.parts[a]
 
