@@ -98,6 +98,16 @@ def _cut(batches: Batches) -> Batches:
         yield block(key, seq, ids, vecs)
 
 
+def _few_copies(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """Without the copies of a vector that no result can hold: the k+1 smallest ids of equal vectors stay, and every query.
+    Ties go to the smaller id, so this loses nothing; salted, so that a vector that is everywhere is no task's burden."""
+    salted = Window.partitionBy("h", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    whole = Window.partitionBy("h", "embedding").orderBy("vec_id")
+    for w in (salted, whole):
+        rows = rows.withColumn("h", F.xxhash64("embedding")).withColumn("place", F.row_number().over(w)).where((F.col("place") <= k + 1) | (F.col("vec_id") % every == 0)).drop("place", "h")
+    return rows
+
+
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -136,6 +146,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings).where(F.exists("embedding", lambda x: x != 0)).distinct()
+    rows = stage(_few_copies(rows, k, every))
     sample: dict[int, list] = {}
     for r in rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(SAMPLE).collect():
         sample.setdefault(len(r["embedding"]), []).append(r["embedding"])

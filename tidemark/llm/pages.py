@@ -26,7 +26,7 @@ _BAD = frozenset("ad ads adv advert advertisement advertising banner breadcrumb
 _GOOD = frozenset("article body content entry main maincontent post story text".split())
 
 #: Log-odds weights.
-WEIGHTS = {"bias": 0.2, "content": 4.0, "outside": -5.0, "bad": -5.0, "bad_around": -1.5, "good": 1.0, "links": -3.0, "words": 0.8, "paragraph": 0.5, "heading": 0.4, "item": -0.3, "copyright": -1.5}
+WEIGHTS = {"bias": 0.2, "content": 4.0, "outside": -8.0, "bad": -8.0, "bad_around": -1.5, "good": 1.0, "links": -3.0, "words": 0.8, "paragraph": 0.5, "heading": 0.4, "item": -0.3, "copyright": -1.5}
 #: Smoothness between nodes: neighbours, near in the tree, and neighbours across a landmark.
 BESIDE, NEAR, ACROSS = 0.8, 0.4, 0.1
 

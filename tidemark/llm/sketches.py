@@ -249,5 +249,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = components(links.unionByName(more))
 
     rep = classes.select("digest", "rep").join(found, F.col("rep") == found["v"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.select("doc_id", "n_shingles", "digest").join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = rows.select("doc_id", "n_shingles", "digest").join(rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
