@@ -53,10 +53,10 @@ def _directions(dim: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ROWS = pa.schema([("curve", pa.int32()), ("dim", pa.int32()), ("key", pa.int64()), ("vec_id", pa.int64()), ("vec", pa.binary())])
-_BLOCKS = pa.schema([("curve", pa.int32()), ("dim", pa.int32()), ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary())])
+_BLOCKS = pa.schema([("curve", pa.int32()), ("dim", pa.int32()), ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("qat", pa.binary()), ("qids", pa.binary()), ("qvecs", pa.binary())])
 
 
-def _keyed(scale: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _keyed(scale: dict[int, tuple[np.ndarray, np.ndarray]], width: str):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, vecs = columns(batch, "vec_id", "embedding")
@@ -66,7 +66,7 @@ def _keyed(scale: dict[int, tuple[np.ndarray, np.ndarray]]):
             for dim, at in by.items():
                 x = np.array([vecs[i] for i in at]).reshape(len(at), dim)
                 mean, spread = scale.get(dim, (np.zeros(dim), 1.0))
-                raw, own = [r.tobytes() for r in x], [ids[i] for i in at]
+                raw, own = [r.tobytes() for r in x.astype(width)], [ids[i] for i in at]
                 for c in range(CURVES):
                     way, shift = _directions(dim, c)
                     y = ((x - mean) @ way / spread / 8 + 0.5) * 0.5 + 0.5 * shift  # four deviations to either side, in half of the cube
@@ -76,26 +76,34 @@ def _keyed(scale: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def _cut(batches: Batches) -> Batches:
-    from pyspark import TaskContext
+def _cut(every: int):
+    """Sorted rows as blocks; beside all its rows a block holds its queries alone, with their places in it."""
 
-    part = TaskContext.get().partitionId()
+    def run(batches: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
 
-    def block(key, seq, ids, vecs):
-        return rows_out(_BLOCKS, [key[1]], [key[0]], [part], [seq], [len(ids)], [np.array(ids, np.int64).tobytes()], [b"".join(vecs)])
+        def block(key, seq, ids, vecs):
+            own = np.array(ids, np.int64)
+            at = np.flatnonzero(own % every == 0)
+            asked = [at.astype(np.int64).tobytes(), own[at].tobytes(), b"".join(vecs[i] for i in at)]
+            return rows_out(_BLOCKS, [key[1]], [key[0]], [part], [seq], [len(ids)], [own.tobytes()], [b"".join(vecs)], *([x] for x in asked))
 
-    key, seq, ids, vecs = None, 0, [], []
-    for batch in batches:
-        for curve, dim, i, vec in zip(*columns(batch, "curve", "dim", "vec_id", "vec"), strict=True):
-            if ids and (key != (dim, curve) or len(ids) == _BLOCK):
-                yield block(key, seq, ids, vecs)
-                seq = seq + len(ids) if key == (dim, curve) else 0
-                ids, vecs = [], []
-            key = (dim, curve)
-            ids.append(i)
-            vecs.append(vec)
-    if ids:
-        yield block(key, seq, ids, vecs)
+        key, seq, ids, vecs = None, 0, [], []
+        for batch in batches:
+            for curve, dim, i, vec in zip(*columns(batch, "curve", "dim", "vec_id", "vec"), strict=True):
+                if ids and (key != (dim, curve) or len(ids) == _BLOCK):
+                    yield block(key, seq, ids, vecs)
+                    seq = seq + len(ids) if key == (dim, curve) else 0
+                    ids, vecs = [], []
+                key = (dim, curve)
+                ids.append(i)
+                vecs.append(vec)
+        if ids:
+            yield block(key, seq, ids, vecs)
+
+    return run
 
 
 def _few_copies(rows: DataFrame, k: int, every: int) -> DataFrame:
@@ -111,15 +119,14 @@ def _few_copies(rows: DataFrame, k: int, every: int) -> DataFrame:
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _rerank(k: int, every: int):
+def _rerank(k: int, width: str):
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for dim, reach, lo, raw, vecs, qlo, qraw, qvecs in zip(*columns(batch, "dim", "reach", "lo", "ids", "vecs", "qlo", "qids", "qvecs"), strict=True):
-                ids, qids = np.frombuffer(raw, np.int64), np.frombuffer(qraw, np.int64)
-                x, q = np.frombuffer(vecs).reshape(len(ids), dim), np.frombuffer(qvecs).reshape(len(qids), dim)
+            for dim, reach, lo, raw, vecs, qlo, places, qraw, qvecs in zip(*columns(batch, "dim", "reach", "lo", "ids", "vecs", "qlo", "qat", "qids", "qvecs"), strict=True):
+                ids, qids, qat = np.frombuffer(raw, np.int64), np.frombuffer(qraw, np.int64), np.frombuffer(places, np.int64)
+                x, q = np.frombuffer(vecs, width).astype(float).reshape(len(ids), dim), np.frombuffer(qvecs, width).astype(float).reshape(len(qids), dim)
                 cols: list[list] = [[], [], []]
-                for i in np.flatnonzero(qids % every == 0):
-                    r = qlo + i
+                for i, r in enumerate(qlo + qat):
                     a, b = max(0, r - reach - lo), min(len(ids), r + reach - lo + 1)
                     if a >= b:
                         continue
@@ -151,18 +158,21 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     for r in rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(SAMPLE).collect():
         sample.setdefault(len(r["embedding"]), []).append(r["embedding"])
     scale = {d: (np.mean(v, axis=0), max(1e-12, float(np.sqrt(np.var(v, axis=0).mean())))) for d, v in sample.items()}
-    keyed = rows.mapInArrow(_keyed(scale), "curve int, dim int, key long, vec_id long, vec binary")
+    # single-precision input travels as such and is widened before distances are taken: the same numbers
+    width = "f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "f8"
+    keyed = rows.mapInArrow(_keyed(scale, width), "curve int, dim int, key long, vec_id long, vec binary")
     order = ("dim", "curve", "key", "vec_id")
-    blocks = stage(keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_cut, "curve int, dim int, part int, seq long, n long, ids binary, vecs binary"))
+    blocks = stage(keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_cut(every), "curve int, dim int, part int, seq long, n long, ids binary, vecs binary, qat binary, qids binary, qvecs binary"))
     # rows a partition and curve: as many as partitions and curves
     held = blocks.groupBy("dim", "curve", "part").agg(F.sum("n").alias("m"))
     by_curve = Window.partitionBy("dim", "curve")
     base = held.select("dim", "curve", "part", F.coalesce(F.sum("m").over(by_curve.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.greatest(F.lit(2 * k), F.ceil(F.sum("m").over(by_curve) * share)).alias("reach"))
-    placed = blocks.join(base, ["dim", "curve", "part"]).withColumn("lo", F.col("base") + F.col("seq")).select("dim", "curve", "reach", "lo", "n", "ids", "vecs")
-    data = placed.withColumn("cell", F.floor(F.col("lo") / F.col("reach")))
+    placed = blocks.join(base, ["dim", "curve", "part"]).withColumn("lo", F.col("base") + F.col("seq"))
+    data = placed.select("dim", "curve", "reach", "lo", "n", "ids", "vecs", F.floor(F.col("lo") / F.col("reach")).alias("cell"))
     span = F.sequence(F.floor((F.col("lo") - F.col("reach") - _BLOCK) / F.col("reach")), F.floor((F.col("lo") + F.col("n") + F.col("reach")) / F.col("reach")))
-    asked = placed.select("dim", "curve", F.col("lo").alias("qlo"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(span).alias("cell"))
+    # queries travel, one in `every` rows, and not the blocks they stand in
+    asked = placed.where("length(qids) > 0").select("dim", "curve", F.col("lo").alias("qlo"), F.col("n").alias("qn"), "qat", "qids", "qvecs", F.explode(span).alias("cell"))
     met = data.join(asked, ["dim", "curve", "cell"]).where("lo <= qlo + qn - 1 + reach and lo + n - 1 >= qlo - reach")
-    found = met.mapInArrow(_rerank(k, every), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = met.mapInArrow(_rerank(k, width), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
