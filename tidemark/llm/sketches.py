@@ -4,11 +4,12 @@ A register holds the exponent, to base ``BASE``, of the least of exponentially s
 the shingles, truncated to a byte: registers of a union are the larger ones of its parts (mergeable), and two
 sets agree in a register about as often as their Jaccard similarity (locality-sensitive).
 
-1. One pass over the texts gives the set size, a digest of the set, the registers and the whole set.
+1. One pass over the texts gives the set size, a digest of the set and the registers.
 2. Documents with the same set are one class; only class representatives go on.
 3. Bands of registers put alike representatives into buckets. Each bucket's most connected member is its
    centre; a member meets its centre only (never all pairs).
-4. Met pairs are estimated by joint likelihood of the registers and confirmed on whole sets; links give components.
+4. Met pairs are estimated by joint likelihood of the registers and confirmed on whole sets, taken again from the
+   texts of these documents alone (texts shrink on disk, sets of hashes do not); links give components.
 5. Buckets that still hold several components compare those outside the largest one with all members, in
    blocks of longer register rows; a pair is looked at in the first band it shares only, and what the
    likelihood does not rule out is confirmed on whole sets too.
@@ -16,6 +17,8 @@ sets agree in a register about as often as their Jaccard similarity (locality-se
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +37,7 @@ SLACK = 4.5
 EXTRA = 896
 _BLOCK = 256
 _FILTER_BITS = 1 << 25
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary()), ("shingles", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary())])
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -84,11 +87,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     [len(s) for s in sets],
                     [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     [next(regs).tobytes() if len(s) else None for s in sets],
-                    # 48 bits of each hash: two sets of 20,000 meet by chance in 0.000001 of them
-                    [s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, shingles binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -138,20 +139,21 @@ def _likely(batches: Batches) -> Batches:
             yield rows_out(_PAIR, np.array(a)[ok], np.array(b)[ok])
 
 
-def _words48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+@lru_cache(maxsize=32)
+def _set_of(text: bytes) -> np.ndarray:
+    """The set of a text; a centre stands in many pairs in a row."""
+    return shingle_set(text)
 
 
 def _confirmed(batches: Batches) -> Batches:
     for batch in batches:
         keep_a, keep_b = [], []
-        for a, b, sa, sb in zip(*columns(batch, "a", "b", "sa", "sb"), strict=True):
-            na, nb = len(sa) // 6, len(sb) // 6
-            if 100 * min(na, nb) < PERCENT * max(na, nb):
+        for a, b, ta, tb in zip(*columns(batch, "a", "b", "ta", "tb"), strict=True):
+            sa, sb = _set_of(ta), _set_of(tb)
+            na, nb = len(sa), len(sb)
+            if not min(na, nb) or 100 * min(na, nb) < PERCENT * max(na, nb):
                 continue
-            both = np.concatenate([_words48(sa), _words48(sb)])
+            both = np.concatenate([sa, sb])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= PERCENT * (na + nb - common):
@@ -160,33 +162,35 @@ def _confirmed(batches: Batches) -> Batches:
         yield rows_out(_PAIR, keep_a, keep_b)
 
 
-def _sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, shingles of the rows whose doc_id is among ids (one long column), and of few others.
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose doc_id is among ids (one long column), and of few others.
 
-    A bitmap of _FILTER_BITS bits (its size is fixed, whatever the input) leaves most other sets out before any shuffle.
+    A bitmap of _FILTER_BITS bits (its size is fixed, whatever the input) leaves most other texts out before any shuffle.
     """
     h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(_FILTER_BITS))
     word, bit = F.shiftright(h, 6), (h % 64).cast("int")
     bits = ids.toDF("doc_id").select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), %d), 64) as int))" % _FILTER_BITS).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    sets = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "shingles", word.alias("word"), bit.alias("at"))
-    return sets.join(F.broadcast(bits), "word").where(F.expr("(shiftrightunsigned(bits, at) & 1L) = 1L")).select("doc_id", "shingles")
+    whole = texts(docs).where("doc_id is not null and text is not null").select("doc_id", "text", word.alias("word"), bit.alias("at"))
+    return whole.join(F.broadcast(bits), "word").where(F.expr("(shiftrightunsigned(bits, at) & 1L) = 1L")).select("doc_id", "text")
 
 
-def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b those whose whole sets are alike enough."""
-    sets = _sets_of(pairs.select("a").union(pairs.select("b")), rows)
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long")
+    whole = _texts_of(pairs.select("a").union(pairs.select("b")), docs)
+    left, right = whole.toDF("a", "ta"), whole.toDF("b", "tb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long")
 
 
 def _longer(batches: Batches) -> Batches:
     """Registers of members of open buckets: those of the sketch, and EXTRA more."""
     out = pa.schema([("rep", pa.int64()), ("registers", pa.binary())])
     for batch in batches:
-        reps, regs, sets = columns(batch, "rep", "registers", "shingles")
+        reps, regs, whole = columns(batch, "rep", "registers", "text")
         for at in range(0, len(reps), 200):
-            more = register_values([mixed(_words48(x)) for x in sets[at : at + 200]], EXTRA, 7)
-            yield rows_out(out, reps[at : at + 200], [r + m.tobytes() for r, m in zip(regs[at : at + 200], more, strict=True)])
+            full = [(rep, r, s) for rep, r, t in zip(reps[at : at + 200], regs[at : at + 200], whole[at : at + 200], strict=True) if len(s := shingle_set(t))]
+            if full:
+                more = register_values([mixed(s) for _, _, s in full], EXTRA, 7)
+                yield rows_out(out, [rep for rep, _, _ in full], [r + m.tobytes() for (_, r, _), m in zip(full, more, strict=True)])
 
 
 def _block_pairs(batches: Batches) -> Batches:
@@ -231,20 +235,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = stage(buckets.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     few = classes.select("rep", "n", "registers")
     likely = stage(star.join(few.toDF("a", "na", "ra"), "a").join(few.toDF("b", "nb", "rb"), "b").mapInArrow(_likely, "a long, b long").distinct())
-    links = stage(_links(likely, rows))
+    links = stage(_links(likely, docs))
     found = components(links)
 
     held = buckets.where("size > 2").join(found, buckets["rep"] == found["v"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     parts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     several = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("total")).where("parts > 1")
     opened = stage(held.join(several.select("key", "total", F.col("most.component").alias("largest")), "key"))
-    sets = _sets_of(opened.select("rep").distinct(), rows).withColumnRenamed("doc_id", "rep")
-    longer = opened.select("rep").distinct().join(classes.select("rep", "registers"), "rep").join(sets, "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
+    whole = _texts_of(opened.select("rep").distinct(), docs).withColumnRenamed("doc_id", "rep")
+    longer = opened.select("rep").distinct().join(classes.select("rep", "registers"), "rep").join(whole, "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / _BLOCK))
     member = F.struct("rep", "component", "n", "registers")
     blocks = stage(opened.join(classes.select("rep", "n"), "rep").join(longer, "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members")))
     pairs = stage(blocks.where("outside").select("key", "band", F.col("members").alias("odd")).join(blocks.select("key", "members"), "key").mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    more = stage(_links(pairs, rows))
+    more = stage(_links(pairs, docs))
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
