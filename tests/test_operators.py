@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, timeseries
+from tidemark.operators import asof, metrics, timeseries
 from tidemark.streaming import folds
 
 
@@ -46,3 +46,13 @@ def test_stream_counts_as_batch(spark, tmp_path):
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("windows").collect()}
     want = {(r["start"], r["event_type"]): r["n"] for r in folds.minute_windows(e.withColumn("ts", F.col("ts"))).collect()}
     assert got == want
+
+
+def test_days_between_stops_at_unresolved_days(spark):
+    # Monday 2024-01-01 to Friday 2024-01-12; Wednesday the 10th has no records
+    traded = spark.createDataFrame([(f"2024-01-{i:02d}",) for i in (1, 2, 3, 3, 4, 5, 8, 9, 11, 12)], "day string").select(F.to_date("day").alias("day"))
+    calendar = asof.calendar_counts(traded, traded.agg(F.min("day").alias("first")))
+    rows = spark.createDataFrame([(1, "2024-01-01", "2024-01-09"), (2, "2024-01-01", "2024-01-10"), (3, "2024-01-09", "2024-01-11"), (4, "2024-01-11", "2024-01-12")], "id long, a string, b string")
+    rows = rows.select("id", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+    got = {r["id"]: r["n"] for r in asof.days_between(rows, "a", "b", calendar).collect()}
+    assert got == {1: 5, 2: 6, 3: None, 4: 0}

@@ -38,3 +38,22 @@ def resolve_alias(queries: DataFrame, windows: DataFrame, key: str) -> DataFrame
     met = queries.join(windows, key, "left").withColumn("valid", F.coalesce(F.col("day").between(F.col("first_date"), F.col("last_date")), F.lit(False)))
     n = F.countDistinct(F.when(F.col("valid"), F.col("name")))
     return met.groupBy(key, "day").agg(n.alias("n_valid")).withColumn("status", F.when(F.col("n_valid") == 1, "RESOLVED").when(F.col("n_valid") > 1, "AMBIGUOUS").otherwise("OUT_OF_VALIDITY"))
+
+
+def calendar_counts(traded: DataFrame, since: DataFrame) -> DataFrame:
+    """Every day from the first to the last one in traded (day; one row a record) and since (one row, one day), with whether it is open or
+    unresolved and both counts up to it. A day with records is open, a weekend without is closed, a weekday without is unresolved.
+    The window holds one row a day."""
+    seen = traded.groupBy("day").agg(F.count("*").alias("records"))
+    every = seen.select("day").union(since).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    marked = every.join(seen, "day", "left").select("day", F.col("records").isNotNull().cast("long").alias("open"), (F.col("records").isNull() & (F.weekday("day") < 5)).cast("long").alias("unresolved"))
+    return marked.withColumn("opened", F.sum("open").over(upto)).withColumn("unresolved_days", F.sum("unresolved").over(upto))
+
+
+def days_between(rows: DataFrame, start: str, end: str, calendar: DataFrame) -> DataFrame:
+    """Adds n: open days strictly between start and end (later than start); null if any day between is unresolved."""
+    a = calendar.select(F.col("day").alias(start), F.col("opened").alias("from_open"), F.col("unresolved_days").alias("from_unresolved"))
+    b = calendar.select(F.col("day").alias(end), (F.col("opened") - F.col("open")).alias("to_open"), (F.col("unresolved_days") - F.col("unresolved")).alias("to_unresolved"))
+    n = F.when(F.col("to_unresolved") == F.col("from_unresolved"), F.col("to_open") - F.col("from_open"))
+    return rows.join(a, start).join(b, end).withColumn("n", n).drop("from_open", "from_unresolved", "to_open", "to_unresolved")
