@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -258,3 +259,37 @@ def test_pipeline_stages(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
+
+
+LONG = "This paragraph stands for real content of the page and it is long enough to count as one, with more than twenty five words in it so that nobody doubts it at all."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section id='discussion'><h2>Discussion</h2><p>{LONG}</p><p>{LONG}</p></section>",
+        f"<h2 id='related-work'>Related work</h2><p>{LONG}</p><h2 id='search-results'>Results</h2><p>{LONG}</p>",
+        f"<section id='cookies'><h2>Cookies</h2><p>{LONG}</p></section>",
+        f"<div class='notice'><p>{LONG}</p></div><div class='post-header'><p>{LONG}</p></div>",
+        f"<div class='section' id='tags'><p>{LONG} <a href=x>one link</a></p></div><dl><dt id='menu'>Menu</dt><dd>{LONG}</dd></dl>",
+    ],
+)
+def test_pages_keep_content_with_ambiguous_names(part):
+    want = [" ".join(x.split()) for x in re.split("<[^>]*>", part.replace(" <a href=x>", " ").replace("</a>", "")) if x.strip()]
+    for around in ("article", "main"):
+        assert pages.main_text(f"<body><nav>Home</nav><{around}><h1>Title</h1><p>{LONG}</p>{part}</{around}><footer>f</footer></body>").split("\n") == ["Title", LONG, *want]
+    if "section" in part and "discussion" in part:  # no element tells the content
+        assert pages.main_text(f"<body><h1>Title</h1>{part}</body>").split("\n") == ["Title", *want]
+
+
+def test_pages_keep_articles_by_topic_and_drop_boilerplate_by_name():
+    html = f"<body><article class='post category-advertising tag-search has-sidebar'><h1>Title</h1><p>{LONG}</p>"
+    for gone in (
+        "<div class='related'><a href=x>Some other post that is here</a> <a href=y>And one more post</a></div>",
+        f"<section id='discussion'><h3>Say</h3><div class='comment'><p>{LONG}</p></div><div class='comment'><p>{LONG}</p></div></section>",
+        f"<div id='sidebar'><p>{LONG}</p></div><div class='newsletter-signup'><p>{LONG}</p></div><div class='comments-area'><p>{LONG}</p></div>",
+        f"<div class='share-buttons'>Share it with all of your friends</div><div hidden><p>{LONG}</p></div>",
+        "<p class='tags'>Tags: <a href=x>economy</a>, <a href=y>politics</a></p>",
+    ):
+        assert pages.main_text(html + gone + "</article></body>").split("\n") == ["Title", LONG], gone
+        assert pages.main_text(html + f"</article><div class='notice'><p>{LONG}</p></div><div id='cookie-banner'><p>{LONG}</p></div></body>").split("\n") == ["Title", LONG]

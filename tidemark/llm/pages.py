@@ -1,7 +1,8 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page becomes blocks of text with the elements around them. Features give each block a log-odds of being
-content: its capacity to one terminal. Runs of sibling blocks that lean the same way are one node. Neighbouring nodes, and nodes
+content: its capacity to one terminal. Words of class, id and role that name content as well (discussion, related-work) count
+as boilerplate inside content only where links or comments fill the element. Runs of sibling blocks that lean the same way are one node. Neighbouring nodes, and nodes
 whose elements stand near in the tree, are joined by smoothness edges; a maximum flow finds the cheapest labelling.
 """
 
@@ -24,6 +25,17 @@ _OUTSIDE = frozenset("nav aside form footer menu dialog fieldset".split())
 _CONTENT = frozenset("article main".split())
 _BAD = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert complementary contentinfo".split())
 _GOOD = frozenset("article body content entry main maincontent post story text".split())
+#: Words of _BAD that name real content as well: as a class or role, and (any word a heading may turn into) as an id.
+_AMBIGUOUS = frozenset("alert discussion disclaimer header notice recommended related respond search tags".split())
+_TOPIC = _AMBIGUOUS | frozenset("advertising banner complementary consent cookie cookies footer form login menu navigation overlay replies reply share sharing social sponsor widget".split())
+_COMMENT = frozenset("comment comments disqus".split())
+#: Parts beside a bad word that leave its meaning (sidebar-left, site-footer), and first parts that say what a page is about or has.
+_PLAIN = frozenset("area articles bar block body bottom box btn button buttons center col column container content div element entry group head icons inner item items left link links list main outer page panel post posts primary right secondary section site slot thread title top unit wrap wrapper".split())
+_ABOUT = frozenset("author cat category format has no status tag tagged taxonomy term topic type with without".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LAYOUT = frozenset("article aside center dir div footer form header main menu nav ol table ul".split())
+#: An ambiguous element is boilerplate where so much of its text lies in links or in comments below it.
+AGREED = 0.5
 
 #: Log-odds weights.
 WEIGHTS = {"bias": 0.2, "content": 4.0, "outside": -8.0, "bad": -8.0, "bad_around": -1.5, "good": 1.0, "links": -3.0, "words": 0.8, "paragraph": 0.5, "heading": 0.4, "item": -0.3, "copyright": -1.5}
@@ -31,23 +43,54 @@ WEIGHTS = {"bias": 0.2, "content": 4.0, "outside": -8.0, "bad": -8.0, "bad_aroun
 BESIDE, NEAR, ACROSS = 0.8, 0.4, 0.1
 
 
+def _marks(tag: str, attrs: list) -> tuple[frozenset, frozenset, frozenset]:
+    """Words of class, id and role that tell boilerplate, those that may tell it, and those that tell content."""
+    clear, weak, good = set(), set(), set()
+    slug = tag not in _LAYOUT or any(k == "class" and v and "section" in v.lower().split() for k, v in attrs)
+    for k, v in attrs:
+        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
+            clear.add("overlay")
+        if k not in ("class", "id", "role") or not v:
+            continue
+        for token in v.lower().split():
+            parts = "".join(c if c.isalnum() else " " for c in token).split()
+            good.update(_GOOD.intersection(parts))
+            bad = _BAD.intersection(parts)
+            if not bad or k == "id" and tag in _HEADING or len(parts) > 1 and parts[0] in _ABOUT:
+                continue
+            sure = bad - (_TOPIC if k == "id" else _AMBIGUOUS if k == "class" else {"alert"})
+            whole = all(p in bad or p in _PLAIN or p.isdigit() for p in parts) or parts[0] in _COMMENT
+            if sure and whole and not (k == "id" and slug):
+                clear |= sure
+            else:
+                weak |= bad
+    return frozenset(clear), frozenset(weak), frozenset(good)
+
+
 class _Reader(HTMLParser):
     """Blocks in page order: (text, link characters, stack of open elements)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple] = [("html", frozenset(), 0, frozenset())]
+        self.stack: list[tuple] = [("html", frozenset(), 0, frozenset(), frozenset())]
         self.skip: list[str] = []
         self.count = 0
         self.in_link = False
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[tuple] = []
+        self.weak: dict[int, list[int]] = {}  # of elements with ambiguous words: characters, those in links or comments
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
+                in_comment = False
+                for e in reversed(self.stack) if self.weak else ():
+                    if (seen := self.weak.get(e[2])) is not None:
+                        seen[0] += len(text)
+                        seen[1] += len(text) if in_comment else min(self.linked, len(text))
+                    in_comment = in_comment or not _COMMENT.isdisjoint(e[1])
                 self.blocks.append((text, self.linked, tuple(self.stack)))
             self.parts, self.linked = [], 0
 
@@ -80,14 +123,11 @@ class _Reader(HTMLParser):
                 if tag in ("li", "dd", "dt", "td", "th", "tr"):
                     for t in {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}[tag]:
                         self._close(t, frozenset(("ul", "ol", "menu", "dl", "table", "div", "section")))
-                words = set()
-                for k, v in attrs:
-                    if k in ("class", "id", "role") and v:
-                        words.update("".join(c if c.isalnum() else " " for c in v.lower()).split())
-                    elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
-                        words.add("overlay")
+                clear, weak, good = _marks(tag, attrs) if attrs else (frozenset(),) * 3
                 self.count += 1
-                self.stack.append((tag, frozenset(words & _BAD), self.count, frozenset(words & _GOOD)))
+                if weak:
+                    self.weak[self.count] = [0, 0]
+                self.stack.append((tag, clear, self.count, good, weak))
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":
@@ -112,18 +152,23 @@ class _Reader(HTMLParser):
                 self.linked += len(data)
 
 
-def _log_odds(text: str, linked: int, stack: tuple) -> float:
+def _log_odds(text: str, linked: int, stack: tuple, agreed: set[int], has_content: bool) -> float:
     w, s = WEIGHTS, WEIGHTS["bias"]
-    inner = max((i for i, e in enumerate(stack) if e[0] in _CONTENT and not e[1]), default=-1)
+    inner = max((i for i, e in enumerate(stack) if e[0] in _CONTENT and not e[1] and e[2] not in agreed), default=-1)
     if inner >= 0:
         s += w["content"]
-    for i, (tag, bad, _, good) in enumerate(stack):
+    held = False  # below an element whose words tell content
+    for i, (tag, clear, number, good, weak) in enumerate(stack):
+        bad = clear or number in agreed
+        if weak and not bad and inner < 0:  # beside the page's content, or where nothing tells that this is content
+            bad = has_content or not held and not weak <= _AMBIGUOUS
         if tag in _OUTSIDE or tag == "header" and i < inner + 1 or tag == "header" and inner < 0:
             s += w["outside"] if i > inner else w["bad_around"]
         elif bad and tag not in ("html", "body") and not (tag == "header" and inner >= 0):
             s += w["bad"] if i > inner or tag in _CONTENT else w["bad_around"]
         elif good and i > 0:
             s += w["good"]
+            held = True
     n = text.count(" ") + 1
     s += w["links"] * min(1.0, linked / len(text))
     s += w["words"] * (1.0 if n >= 25 else 0.5 if n >= 8 else -0.4)
@@ -176,11 +221,13 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     reader.flush()
+    agreed = {number for number, (all_of_it, telling) in reader.weak.items() if telling >= AGREED * all_of_it > 0}
+    has_content = any(e[0] in _CONTENT and not e[1] and e[2] not in agreed for b in reader.blocks for e in b[2])
     lean: list[float] = []
     member: list[int] = []
     ends: list[tuple] = []
     for text, linked, stack in reader.blocks:
-        x = _log_odds(text, linked, stack)
+        x = _log_odds(text, linked, stack, agreed, has_content)
         place = stack[:-1] if len(stack) > 1 and stack[-1][0] in ("p", "li", "td", "th", "dd", "dt", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else stack
         if ends and ends[-1][-1][2] == place[-1][2] and (lean[-1] > 0) == (x > 0):
             lean[-1] += x
