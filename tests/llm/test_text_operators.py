@@ -293,3 +293,20 @@ def test_pages_keep_articles_by_topic_and_drop_boilerplate_by_name():
     ):
         assert pages.main_text(html + gone + "</article></body>").split("\n") == ["Title", LONG], gone
         assert pages.main_text(html + f"</article><div class='notice'><p>{LONG}</p></div><div id='cookie-banner'><p>{LONG}</p></div></body>").split("\n") == ["Title", LONG]
+
+
+class RunTagger:
+    """Tags every run of anything but spaces as an e-mail."""
+
+    def decode(self, codes):
+        inside = (codes != 32) & (codes != 130)
+        begin = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(begin, 1, np.where(inside, 2, 0)).astype(np.int8), np.full(codes.shape, 2.0)
+
+
+@pytest.mark.parametrize("length", [20, 31, 32, 40, 62, 63, 64, 65, 150, 1000])
+def test_tagged_spans_of_any_length_and_alignment(length):
+    for at in range(1, 66):
+        for left in {1, length // 2, length - 2}:
+            text = " " * at + "é" * left + "@" + "x" * (length - left - 1) + " end of it, and more words to follow here"
+            assert pii.tagged_spans([text, text.strip()], RunTagger()) == [[(at, at + length, "email")], [(0, length, "email")]], (at, left)

@@ -2,7 +2,8 @@
 
 The tagger is trained in numpy from labelled spans planted into stretches of the corpus (a bounded sample: SAMPLE documents of
 least hash). Every kind has a digit or an @ in it, so only windows around these are tagged; such windows cover all
-of them in every whole text. Windows overlap by half; their spans are reconciled over the whole text by best total score.
+of them in every whole text. Windows overlap by half; a span that every window cuts is decoded again in wider ones, until one sees
+it whole. Spans are reconciled over the whole text by best total score.
 """
 
 from __future__ import annotations
@@ -100,13 +101,12 @@ class Tagger:
             self.p["move"][:, i] = -8
             self.p["move"][[i - 1, i], i] = 0
 
-    def _run(self, codes: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, codes: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
         h, n, t = self.h, *codes.shape
-        gates = self.p["x" + d][codes]
-        u, y, c = self.p["u" + d], np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        x, u, y, c = self.p["x" + d], self.p["u" + d], np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         out, kept = np.empty((n, t, h), np.float32), []
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            g = gates[:, i] + y @ u
+            g = x[codes[:, i]] + y @ u
             s = _sigmoid(g[:, : 3 * h])
             new = np.tanh(g[:, 3 * h :])
             before, was = c, y
@@ -114,11 +114,12 @@ class Tagger:
             th = np.tanh(c)
             y = s[:, 2 * h :] * th
             out[:, i] = y
-            kept.append((i, s, new, before, th, was))
+            if keep:
+                kept.append((i, s, new, before, th, was))
         return out, kept
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(codes, "f")[0], self._run(codes, "b")[0]], 2)
+        both = np.concatenate([self._run(codes, "f", False)[0], self._run(codes, "b", False)[0]], 2)
         return both @ self.p["out"] + self.p["bias"]
 
     def gradient(self, codes: np.ndarray, tags: np.ndarray) -> dict:
@@ -258,30 +259,72 @@ def _windows(text: str) -> list[int]:
     return sorted(k * half for k in seen)
 
 
+def _hopeless(kind: str, text: str) -> bool:
+    """No span of the kind can hold this piece: it has too many digits already."""
+    digits = sum(c in "0123456789" for c in text)
+    return kind == "card" and digits > 19 or kind == "phone" and digits > 15
+
+
+def _around(text: str, lo: int, hi: int, least: int) -> tuple[int, int]:
+    """(width, start) of a window with half a SPAN at least to either side of [lo, hi); widths are SPAN times powers of 2."""
+    width = SPAN
+    while width < max(least, hi - lo + SPAN):
+        width *= 2
+    return width, max(0, min((lo + hi - width) // 2, len(text) - width))
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Per text the tagger's spans, reconciled: of overlapping ones those of best total score."""
-    where = [(i, s) for i, t in enumerate(texts) for s in _windows(t)]
+    where = [(i, s, 0, len(t)) for i, t in enumerate(texts) for s in _windows(t)]
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(where), 512):
-        some = where[at : at + 512]
-        path, gain = tagger.decode(np.stack([_codes(texts[i][s : s + SPAN], SPAN) for i, s in some]))
-        for r in np.flatnonzero((path > 0).any(1)):
-            i, s = some[r]
-            row, end = path[r], min(SPAN, len(texts[i]) - s)
-            p = 0
-            while p < end:
-                if row[p] == 0:
-                    p += 1
-                    continue
-                q = p + 1
-                kind = (row[p] - 1) // 2
-                while q < end and row[q] == 2 + 2 * kind:
-                    q += 1
-                cut = p == 0 and s > 0 or q == SPAN and s + SPAN < len(texts[i])  # another window sees it whole
-                score = float(gain[r, p:q].mean())
-                if not cut and score >= MARGIN and q - p >= 7 and _plausible(KINDS[kind], texts[i][s + p : s + q]):
-                    found[i].append((s + p, s + q, KINDS[kind], score * (q - p)))
-                p = q
+
+    def read(where: list[tuple[int, int, int, int]], width: int) -> tuple[dict, list]:
+        """Take the spans of windows (text, start, and the stretch whose spans count). Runs seen whole, by text, and runs cut by a window's edge."""
+        whole, cuts, many = {}, [], max(1, 512 * SPAN // width)
+        for at in range(0, len(where), many):
+            some = where[at : at + many]
+            path, gain = tagger.decode(np.stack([_codes(texts[i][s : s + width], width) for i, s, _, _ in some]))
+            for r in np.flatnonzero((path > 0).any(1)):
+                i, s, least, most = some[r]
+                row, end = path[r], min(width, len(texts[i]) - s)
+                p = 0
+                while p < end:
+                    if row[p] == 0:
+                        p += 1
+                        continue
+                    q = p + 1
+                    kind = (row[p] - 1) // 2
+                    while q < end and row[q] == 2 + 2 * kind:
+                        q += 1
+                    lo, hi = s + p, s + q
+                    if lo < most and hi > least:
+                        if p == 0 and s > 0 or q == width and hi < len(texts[i]):
+                            if not _hopeless(KINDS[kind], texts[i][lo:hi]):
+                                cuts.append((i, lo, hi, width))
+                        else:
+                            whole.setdefault(i, []).append((lo, hi))
+                            score = float(gain[r, p:q].mean())
+                            if score >= MARGIN and q - p >= 7 and _plausible(KINDS[kind], texts[i][lo:hi]):
+                                found[i].append((lo, hi, KINDS[kind], score * (q - p)))
+                    p = q
+        return whole, cuts
+
+    whole, cuts = read(where, SPAN)
+    # cut runs that no window sees whole; those that overlap are one
+    todo: list[list[int]] = []
+    for i, lo, hi, width in sorted(cuts):
+        if any(a <= lo and hi <= b for a, b in whole.get(i, ())):
+            continue
+        if todo and todo[-1][0] == i and lo < todo[-1][2]:
+            todo[-1][2] = max(hi, todo[-1][2])
+        else:
+            todo.append([i, lo, hi, width])
+    while todo:
+        by_width: dict[int, set] = {}
+        for i, lo, hi, width in todo:
+            wider, start = _around(texts[i], lo, hi, 2 * width)
+            by_width.setdefault(wider, set()).add((i, start, lo, hi))
+        todo = [c for width, windows in sorted(by_width.items()) for c in read(sorted(windows), width)[1]]
     out = []
     for spans in found:
         spans = sorted(set(spans), key=lambda x: x[1])
