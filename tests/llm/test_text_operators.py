@@ -310,3 +310,14 @@ def test_tagged_spans_of_any_length_and_alignment(length):
         for left in {1, length // 2, length - 2}:
             text = " " * at + "é" * left + "@" + "x" * (length - left - 1) + " end of it, and more words to follow here"
             assert pii.tagged_spans([text, text.strip()], RunTagger()) == [[(at, at + length, "email")], [(0, length, "email")]], (at, left)
+
+
+def test_training_contexts_come_from_whole_texts_with_numbers(spark):
+    body = " ".join(f"word{i}" if i % 3 else f"in {1900 + i % 100}" for i in range(4000))
+    rows = [(i, body) for i in range(40)] + [(100, None), (101, ""), (102, "short 12"), (103, "mail a.b@c.org or 4417 7442 8035 1547 in 2001")]
+    got = pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    where = sorted(body.index(c) for c in got if len(c) == pii.STRETCH)
+    assert "short 12" in got and len(where) > 250 and where[0] < 2000 and where[-1] > 0.9 * len(body) and sum(w > 2000 for w in where) > 0.8 * len(where)
+    assert all(any(ch.isdigit() for ch in pii.masked(c)) for c in got if len(c) == pii.STRETCH)
+    assert pii.masked(rows[-1][1]).split() == ["mail", "or", "in", "2001"]

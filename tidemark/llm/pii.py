@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and spans that a character BiLSTM with CRF transitions adds.
 
-The tagger is trained in numpy from labelled spans planted into stretches of the corpus (a bounded sample: SAMPLE documents of
-least hash). Every kind has a digit or an @ in it, so only windows around these are tagged; such windows cover all
+The tagger is trained in numpy from labelled spans planted into stretches of the corpus (a bounded sample: STRETCHES stretches of
+STRETCH characters, at hashed offsets of the whole texts, from each of SAMPLE documents of least hash; their own personal data is masked). Every kind has a digit or an @ in it, so only windows around these are tagged; such windows cover all
 of them in every whole text. Windows overlap by half; a span that every window cuts is decoded again in wider ones, until one sees
 it whole. Spans are reconciled over the whole text by best total score.
 """
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import Batches, columns, rows_out
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 256
+#: Training contexts: so many documents, and of each so many stretches of so many characters, from anywhere in its text. No more of the corpus is
+#: seen in training, at any size; tagging reads all of it.
+SAMPLE, STRETCHES, STRETCH = 256, 8, 250
 EXAMPLES, EPOCHS, HIDDEN, SPAN = 2560, 8, 16, 64
 #: A tagged span must beat "nothing" by this much on average.
 MARGIN = 1.5
@@ -29,6 +31,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+#: What may be personal data, in any way of writing: words with an @, long numbers, dotted fours.
+_OWN = re.compile(r"[^\s@]*+@\S*|[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}|[0-9]++(?:\.[0-9]++){3}")
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -209,11 +213,16 @@ def _planted(rng: np.random.Generator) -> tuple[str, str]:
     return "", str(rng.choice([num(int(rng.integers(1, 8))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"${num(3)}.{num(2)}", f"{num(2)}%", "@" + word(6), hashlib.md5(num(5).encode()).hexdigest()]))
 
 
+def masked(text: str) -> str:
+    """The text without what may be personal data: it would count as none in training. Short numbers stay."""
+    return _OWN.sub(" ", text)
+
+
 @lru_cache(maxsize=4)
 def trained(contexts: tuple[str, ...]) -> Tagger:
-    """A tagger from planted spans in stretches of the given texts (or of plain words, if there are none)."""
+    """A tagger from planted spans in stretches of the given texts, their own spans masked (or of plain words, if there are none)."""
     rng = np.random.default_rng(99)
-    clean = [c for c in contexts if c and not _HINT.search(c)] or ["the report was sent to the office and the reply came in the evening. "]
+    clean = [c for c in map(masked, contexts) if c.strip()] or ["the report was sent to the office and the reply came in the evening. "]
     codes, tags = np.empty((EXAMPLES, SPAN), np.int64), np.zeros((EXAMPLES, SPAN), np.int64)
     for i in range(EXAMPLES):
         base = clean[int(rng.integers(len(clean)))]
@@ -363,9 +372,20 @@ def _joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
+def contexts(docs: DataFrame) -> tuple[str, ...]:
+    """The stretches to train on. The hashes of least value come first by themselves, so that no texts are sent for other documents."""
+    hashed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
+    last = [r["h"] for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
+    if not last:
+        return ()
+    room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
+    parts = F.array(*[F.substring("text", F.pmod(F.xxhash64("h", F.lit(k)), room).cast("int") + 1, F.lit(STRETCH)) for k in range(STRETCHES)])
+    rows = hashed.where(F.col("h") <= max(last)).select("h", parts.alias("parts")).orderBy("h", "parts").limit(SAMPLE).collect()
+    return tuple(dict.fromkeys(p for r in rows for p in r["parts"]))
+
+
 def _tagger(docs: DataFrame) -> Tagger:
-    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 2000).alias("text")).orderBy("h", "text").limit(SAMPLE).collect()
-    return trained(tuple(r["text"] for r in rows))
+    return trained(contexts(docs))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
