@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, pii, quality, sketches
@@ -15,9 +15,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of least doc_id. Rows without doc_id stay."""
-    kept = sketches.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: that of least doc_id. Rows without doc_id stay.
+
+    Different texts under one doc_id are documents of their own: the text of least hash goes by the doc_id, the others by numbers
+    of 62 bits, which come last in a group. Of rows with equal doc_id and text that of least other columns stays.
+    """
+    rows = docs.where("doc_id is not null")
+    h = F.xxhash64("text")
+    shared = stage(rows.groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select(F.col("doc_id").alias("of"), "least"))
+    if shared.isEmpty():
+        keyed, key = rows, "doc_id"
+    else:
+        key = "document"
+        other = F.shiftrightunsigned(F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()), 2) + F.lit(1 << 62)
+        keyed = stage(rows.join(shared, F.col("doc_id") == F.col("of"), "left").withColumn(key, F.when(F.col("of").isNull() | (h == F.col("least")), F.col("doc_id").cast("long")).otherwise(other)).drop("of", "least"))
+    found = keyed if key == "doc_id" else keyed.drop("doc_id").withColumnRenamed(key, "doc_id")
+    kept = sketches.near_duplicates(found).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    least = Window.partitionBy(key).orderBy(*[c for c in docs.columns if c != "text"], "text")
+    one = keyed.join(kept, key, "left_semi").withColumn("place", F.row_number().over(least)).where("place = 1").select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 

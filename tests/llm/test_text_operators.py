@@ -321,3 +321,22 @@ def test_training_contexts_come_from_whole_texts_with_numbers(spark):
     assert "short 12" in got and len(where) > 250 and where[0] < 2000 and where[-1] > 0.9 * len(body) and sum(w > 2000 for w in where) > 0.8 * len(where)
     assert all(any(ch.isdigit() for ch in pii.masked(c)) for c in got if len(c) == pii.STRETCH)
     assert pii.masked(rows[-1][1]).split() == ["mail", "or", "in", "2001"]
+
+
+def test_near_duplicate_stage_keeps_every_text_of_a_shared_doc_id(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(words(80, 20 + i)) for i in range(4))
+    near = a.split()
+    near[40] = "changed"
+    rows = [(1, a, "en", "x"), (1, b, "en", "x"), (1, b, "en", "w"), (1, " ".join(near), "en", "x"), (2, c, "en", "x"), (3, c, "en", "x"), (3, d, "en", "x"), (4, None, "en", "x"), (4, "", "en", "x"), (None, a, "en", "x"), (5, b, "en", "x")]
+    for n in (1, 3, 7):
+        df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS).repartition(n)
+        got = sorted(map(tuple, corpus_pipeline.near_duplicate_stage(spark, df, "").collect()), key=repr)
+        assert sorted(t[1] for t in got if t[0] == 1 and t[1] != b) in ([a], [" ".join(near)])
+        assert [t for t in got if t[1] == b] in ([(1, b, "en", "w", len(b))], [(5, b, "en", "x", len(b))])
+        assert [t[0] for t in got if t[1] == c] in ([2], [3]) and [t[0] for t in got if t[1] == d] == [3]
+        assert [t[1] for t in got if t[0] == 4 and t[1] != ""] == [None] and (4, "", "en", "x", 0) in got and (None, a, "en", "x", len(a)) in got
+        assert len(got) == 7
+        assert n == 1 or got == first
+        first = got
