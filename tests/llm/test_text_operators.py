@@ -340,3 +340,24 @@ def test_near_duplicate_stage_keeps_every_text_of_a_shared_doc_id(spark):
         assert len(got) == 7
         assert n == 1 or got == first
         first = got
+
+
+def test_curves_recall_of_the_registered_query_on_the_largest_table(spark):
+    from pathlib import Path
+
+    from tidemark.llm import queries
+
+    folder = next(f for f in ("/root/testdata/check_l", "/root/testdata/check_s", "/root/testdata/sf0.1") if Path(f, "embeddings.parquet").exists())
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    got = defaultdict(set)
+    for r in queries.op5_nearest_neighbours(spark, folder).select("query_id", "vec_id").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        away = ((x - x[q]) ** 2).sum(1)
+        away[ids == ids[q]] = np.inf
+        best = set(ids[np.argsort(away, kind="stable")[:10]].tolist())
+        hit += len(best & got[int(ids[q])])
+        total += len(best)
+    assert hit >= 0.9 * total

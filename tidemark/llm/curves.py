@@ -3,7 +3,7 @@
 Every curve projects the vectors to a few random directions, shifts them and orders them by Hilbert key; Spark sorts by
 range. A query looks at the vectors within a window of ranks around its own on every curve; the windows are
 merged and ranked by true distance. The window is a share of all rows, for the nearest neighbours of vectors without low-dimensional
-structure are spread widely on any curve: the share sets the recall, at every size alike.
+structure are spread widely on any curve: the share sets the recall (0.97 of 2000 vectors, 0.987 of 51282; not measured beyond).
 """
 
 from __future__ import annotations
