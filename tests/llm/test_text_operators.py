@@ -38,6 +38,7 @@ def docs(spark):
         (11, " ".join(words(9000, 3)), "en", "a"),
         (11, " ".join(words(9000, 3)), "en", "a"),
         (None, " ".join(base), "en", "a"),
+        (13, "Prompt line\nx <|endoftext|> y<|startoftext|>Don't STOP!!! İ? 12", "en", "b"),
         (12, "écrit à me.x9@mail.example.com, 10.0.0.255 or 4417744280351547; +1 (212) 555-0198.", "fr", "a"),
     ]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS).withColumn("spans", F.lit(1)).withColumn("size", F.lit("x"))
@@ -115,7 +116,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(docs).collect()
     by, seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -138,17 +138,35 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_packer_holds_every_limit():
-    packer, r = packing.Packer((64, 3, 20)), random.Random(4)
-    rows = []
-    for i in range(300):
-        n = r.randint(1, 150)
-        rows += packer.add(i, b"\1\0\0\0" * n, r.randint(0, n))
+@pytest.mark.parametrize("limits", [(64, 3, 40), (64, 40, 20), (64, 3, 64), (64, 64, 1)])
+def test_packer_holds_every_limit(limits):
+    packer, r = packing.Packer(limits), random.Random(4)
+    rows, bears, sizes = [], {}, {}
+    for i in range(1500):
+        sizes[i] = r.randint(1, 150) if i % 7 == 0 else r.randint(1, 12)
+        bears[i] = r.randint(0, sizes[i])
+        rows += packer.add(i, b"\1\0\0\0" * sizes[i], bears[i])
     rows += packer.close()
-    seq = defaultdict(list)
+    seq, seen = defaultdict(list), defaultdict(list)
     for x in rows:
         seq[x[5]].append(x)
-    assert all(sum(x[2] for x in v) <= 64 and len(v) <= 3 for v in seq.values())
+        seen[x[0]] += range(x[1], x[1] + x[2])
+    assert all(sorted(seen[i]) == list(range(n)) for i, n in sizes.items())
+    for v in seq.values():
+        assert sum(x[2] for x in v) <= limits[0] and len(v) <= limits[1]
+        assert sum(max(0, x[1] + x[2] - max(x[1], bears[x[0]])) for x in v) <= limits[2]
+    # each limit that is tight closes sequences
+    assert packer.closed[{3: "segments", 40: "loss", 64: "loss"}[limits[1]]] > 0
+
+
+def test_encoder_gives_the_plain_ids():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(path("word_bpe_49k.json")), random.Random(5)
+    parts = [*"abcABC éÉßΣİſKÅﬁǄǅ×÷ƻɁɐ中한٣.,!?%&'-_\n\t", "\u0301", "\u00a0", "\u200b", "'s", "'t", "12", "<|endoftext|>", "<|startoftext|>", "the "]
+    some = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    assert [np.frombuffer(c, "<u4").tolist() for c in packing._encoder(None).encode([x.encode() for x in some])] == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
 def test_personal_data(spark, docs):
