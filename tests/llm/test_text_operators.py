@@ -313,6 +313,46 @@ def test_pages_keep_articles_by_topic_and_drop_boilerplate_by_name():
         assert pages.main_text(html + f"</article><div class='notice'><p>{LONG}</p></div><div id='cookie-banner'><p>{LONG}</p></div></body>").split("\n") == ["Title", LONG]
 
 
+def test_pages_cut_decides_where_blocks_alone_do_not(spark):
+    """Names that tell the content are removed: short blocks inside the content are kept by their neighbours alone."""
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(700).collect()]
+    weights = pages.fit_weights(*map(np.array, zip(*[e for h in rows[:200] for e in pages.examples(h)], strict=True)))
+    right = {True: 0, False: 0}
+    for html in rows[200:]:
+        want = pages.main_text(html, weights)
+        plain = re.sub(r"<(/?)(p|h1)\b[^>]*>", r"<\1div>", html)
+        blocks = pages.read(plain)
+        lean = pages.log_odds(blocks, weights)
+        for cut, keep in ((True, pages.minimum_cut(lean, pages._edges(blocks))), (False, [x > 0 for x in lean])):
+            right[cut] += "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k) == want
+    assert right[True] > right[False] + 10
+
+
+def test_pages_learned_costs_and_awkward_tables(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert not np.allclose(pages.learned(d), pages.PRIOR) and np.array_equal(pages.learned(d), pages.learned(d.repartition(5)))
+    none = d.limit(0)
+    assert np.array_equal(pages.learned(none), pages.PRIOR) and pages.extract(none).count() == 0
+    twice = d.union(d).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(None))
+    got = pages.extract(twice)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 2 * d.count() and got.distinct().count() == d.count()
+    want = {r["page_id"]: re.search("<article>(.*)</article>", r["html"], re.S)[1] for r in d.collect()}
+    for r in got.collect():
+        assert r["text"] == pages.main_text(f"<article>{want[r['page_id']]}</article>", np.array([9.0] + [0.0] * 13)), r["page_id"]
+
+
+def test_pages_long_and_deep_pages_take_linear_time():
+    import time
+
+    def seconds(html):
+        t = time.process_time()
+        pages.main_text(html)
+        return time.process_time() - t
+
+    for page in (lambda n: "<div>" * n + "a" + "</div>" * n, lambda n: "<body>" + "<div>a b c" * n, lambda n: "<body>" + "".join(f"<p>{'word ' * (i % 40)}</p><ul><li><a href=x>l</a></ul>" for i in range(n))):
+        assert seconds(page(8000)) < 8 * seconds(page(2000)) + 0.5
+
+
 class RunTagger:
     """Tags every run of anything but spaces as an e-mail."""
 

@@ -43,6 +43,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def least_hashes(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows of least hash of the named columns (all, if none is named): a sample that no order of rows or tasks changes.
+
+    A threshold from the number of rows goes before the sort, so that tasks send some 4 n rows in all, not n each.
+    """
+    h = F.xxhash64(*(by or df.columns))
+    total = df.count()
+    some = df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * 4.0 * n / total)) if total > 4 * n else df
+    return some.orderBy(F.pmod(h, F.lit(1 << 31)), h, *df.columns).limit(n)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as UTF-8 bytes (null stays null), and the named columns."""
     # a bare column where it can be: an alias would keep equal exchanges from being seen as one
