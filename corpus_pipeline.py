@@ -10,7 +10,8 @@ from tidemark.llm.common import stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored as the empty text, repeated rows each by itself, whole
+    texts whatever their length; an empty table stays empty; any other columns stay as they are."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -18,41 +19,50 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays: that of least doc_id. Rows without doc_id stay.
 
     Different texts under one doc_id are documents of their own: the text of least hash goes by the doc_id, the others by numbers
-    of 62 bits, which come last in a group. Of rows with equal doc_id and text that of least other columns stays.
+    of 62 bits, which come last in a group. Of rows with equal doc_id and text that of least other columns stays. Null and empty
+    texts link with nothing; texts of any length are compared whole; an empty table stays empty; any other columns stay as they are.
     """
-    rows = docs.where("doc_id is not null")
+    # the row travels as one struct, so that no column of it meets a name of ours
+    rows = docs.where("doc_id is not null").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     h = F.xxhash64("text")
-    shared = stage(rows.groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select(F.col("doc_id").alias("of"), "least"))
+    shared = stage(rows.groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least <> most").select("doc_id", "least"))
     if shared.isEmpty():
-        keyed, key = rows, "doc_id"
+        keyed = rows
     else:
-        key = "document"
         other = F.shiftrightunsigned(F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()), 2) + F.lit(1 << 62)
-        keyed = stage(rows.join(shared, F.col("doc_id") == F.col("of"), "left").withColumn(key, F.when(F.col("of").isNull() | (h == F.col("least")), F.col("doc_id").cast("long")).otherwise(other)).drop("of", "least"))
-    found = keyed if key == "doc_id" else keyed.drop("doc_id").withColumnRenamed(key, "doc_id")
-    kept = sketches.near_duplicates(found).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    least = Window.partitionBy(key).orderBy(*[c for c in docs.columns if c != "text"], "text")
-    one = keyed.join(kept, key, "left_semi").withColumn("place", F.row_number().over(least)).where("place = 1").select(*docs.columns)
+        own = F.when(F.col("least").isNull() | (h == F.col("least")), F.col("doc_id")).otherwise(other)
+        keyed = stage(rows.join(shared, "doc_id", "left").select("row", own.alias("doc_id"), "text"))
+    kept = sketches.near_duplicates(keyed).where("kept").select("doc_id").distinct()
+    sorted_by = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name != "text" and f.dataType.typeName() not in ("map", "variant")]
+    least = Window.partitionBy("doc_id").orderBy(*sorted_by, "text")
+    one = keyed.join(kept, "doc_id", "left_semi").withColumn("place", F.row_number().over(least)).where("place = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind in brackets."""
+    """Spans of personal data give way to their kind in brackets, in whole texts of any length. Null and empty texts stay; repeated rows
+    are read each by itself; an empty table stays empty; n_chars follows the text, any other columns stay as they are."""
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice. The one document at a source's
-    end that is taken in part counts as taken if half of it or more is; empty documents have nothing to take and go."""
+    """Every document once for each pass over its source in which the mix takes it, in the order of the mix's slots: files
+    and rows follow the schedule, so that every stretch of them holds the sources in their proportions.
+
+    The one document at a source's end that is taken in part counts as taken if half of it or more is; empty and null texts have nothing
+    to take and go. Rows equal in doc_id, source and size are taken alike: in a pass that takes half of them or more. Texts of any length
+    count whole; an empty table stays empty; any other columns stay as they are.
+    """
     words = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("share"))
-    times = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.floor(F.col("share") + 0.5).cast("int").alias("times")).where("times > 0")
-    met = docs.withColumn("z0", words).join(times, F.expr("doc_id <=> d and source <=> s and z0 = z"))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    met = mixing.passes(docs).where("size > 0").groupBy("doc_id", "source", "size", "pass")
+    taken = met.agg(F.avg((F.col("used") * 2 >= F.col("size")).cast("int")).alias("part"), F.min("first_slot").alias("slot")).where("part >= 0.5")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), words.alias("n"))
+    copies = rows.join(taken, F.expr("id <=> doc_id and of <=> source and n = size"))
+    return copies.repartitionByRange("slot", "id").sortWithinPartitions("slot", "id").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: one row a piece of a packed sequence."""
+    """The last stage: one row a piece of a packed sequence. Null and empty texts are one end mark; repeated rows are packed each by itself."""
     return packing.digest(packing.pack(docs))
 
 
