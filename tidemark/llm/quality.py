@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import Batches, columns, rows_out, stage, texts
 
@@ -120,7 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have the statistics of the empty text. Without training rows of both classes every score is 0.5. A
     null doc_id is never held out. Rows that repeat a doc_id are scored each by itself (and join a label each). Only the text
-    is scored: other columns play no part.
+    is scored, whole and of any length: other columns play no part. An empty table gives no rows.
     """
     stats = stage(document_statistics(docs))
     model = fit(stats, labels)
@@ -137,14 +138,27 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, whose whole text is predicted 1. Fitted as classify() is; the rows pass one by one, without a join."""
-    model = fit(stage(document_statistics(docs)), labels)
+    """Rows of docs, all columns, whose whole text is predicted 1. Fitted as classify() is.
 
-    def run(batches: Batches) -> Batches:
+    The statistics are computed once: they are written beside the rows, in a column of a name that docs does not have.
+    """
+    name = "stats"
+    while name in docs.columns:
+        name += "_"
+    out = StructType([*docs.schema, StructField(name, ArrayType(DoubleType()))])
+
+    def measure(batches: Batches) -> Batches:
         for batch in batches:
             (raw,) = columns(batch, "text")
-            if raw:
-                good = model.score(np.array([statistics(t.encode() if t else None) for t in raw])) >= THRESHOLD
-                yield batch.filter(pa.array(good))
+            yield batch.append_column(name, pa.array([statistics(t.encode() if t else None) for t in raw], pa.list_(pa.float64())))
+
+    rows = stage(docs.mapInArrow(measure, out))
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats")), labels)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            (x,) = columns(batch, name)
+            if x:
+                yield batch.filter(pa.array(model.score(np.array(x)) >= THRESHOLD)).select(docs.columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
