@@ -239,17 +239,42 @@ def usable(vectors):
     return sorted(found)
 
 
+def best_products(rows, every=50, k=5):
+    best = defaultdict(dict)
+    for i, q in rows:
+        if i % every == 0:
+            for j, v in rows:
+                if j != i and len(v) == len(q):
+                    p = max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q, v, strict=True))))
+                    best[i][j] = max(p, best[i].get(j, p))
+    return {(i, r + 1, j, -s) for i, found in best.items() for r, (s, j) in enumerate(sorted((-s, j) for j, s in found.items())[:k])}
+
+
 def test_exact_search(spark, vectors):
     rows = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in usable(vectors)]
-    want = set()
-    for i, q in rows:
-        if i % 50 == 0:
-            best = sorted((-int(q @ v), j) for j, v in rows if j != i and len(v) == len(q))[:5]
-            want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {tuple(r) for r in voronoi.top_products(vectors).collect()} == want
+    clashing = vectors.withColumn("cell", F.lit("x")).withColumn("dim", F.lit(1)).withColumn("score", F.lit(None))
+    assert {tuple(r) for r in voronoi.top_products(clashing).collect()} == best_products(rows)
     assert voronoi.top_products(vectors.limit(0)).count() == 0
 
 
+def test_exact_search_repeated_ids_and_large_components(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in r.normal(size=3)]) for i in r.integers(0, 120, 400)] + [(50, [1e6, -1e6, 3e6]), (51, [1e7, 2e7, 1e6]), (100, [2.0**40, 1.0, -1.0]), (101, [2.0**38, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {tuple(x) for x in voronoi.top_products(df).collect()}
+    assert got == best_products([(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows])
+
+
+def test_exact_search_bounds_leave_out_far_cells(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.02 * r.normal(size=8)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert voronoi.products_computed(df) < 0.2 * 80 * 4000
+    assert {tuple(x) for x in voronoi.top_products(df).collect()} == best_products([(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows])
+
+
 def test_curves_recall(spark, vectors):
     rows = [(i, np.array(v)) for i, v in usable(vectors) if any(v)]
     got = defaultdict(list)
