@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and spans that a character BiLSTM with CRF transitions adds.
 
-The tagger is trained in numpy from labelled spans planted into stretches of the corpus (a bounded sample: STRETCHES stretches of
-STRETCH characters, at hashed offsets of the whole texts, from each of SAMPLE documents of least hash; their own personal data is masked). Every kind has a digit or an @ in it, so only windows around these are tagged; such windows cover all
-of them in every whole text. Windows overlap by half; a span that every window cuts is decoded again in wider ones, until one sees
-it whole. Spans are reconciled over the whole text by best total score.
+The tagger is trained in numpy from labelled spans: those that the patterns find in a bounded sample of the corpus, the same spans in ways of
+writing that the patterns miss (user (at) host dot org, 10[.]0[.]0[.]1, dotted cards, national phone numbers), and made-up ones of
+either sort planted into other stretches. Every kind, in every such way, has a digit, an @ or the word dot in it, so only windows around these are
+tagged; such windows cover all of them in every whole text. Windows overlap by half, so a span of up to SPAN / 2 characters lies whole in one; a
+longer one that every window cuts is decoded again in wider ones, until one sees it whole. Spans are reconciled over the whole text by best total
+score.
 """
 
 from __future__ import annotations
@@ -17,20 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, columns, rows_out
+from .common import Batches, columns, least_hashes, rows_out
 
 KINDS = ("email", "ip", "card", "phone")
-#: Training contexts: so many documents, and of each so many stretches of so many characters, from anywhere in its text. No more of the corpus is
-#: seen in training, at any size; tagging reads all of it.
+#: Training contexts: so many documents, and of each so many stretches of so many characters, from anywhere in its text; and as many documents
+#: that hold personal data, one stretch around it of each. No more of the corpus is seen in training, at any size; tagging reads all of it.
 SAMPLE, STRETCHES, STRETCH = 256, 8, 250
-EXAMPLES, EPOCHS, HIDDEN, SPAN = 2560, 8, 16, 64
+EXAMPLES, EPOCHS, HIDDEN, SPAN = 3072, 8, 16, 64
 #: A tagged span must beat "nothing" by this much on average.
-MARGIN = 1.5
+MARGIN = 0.5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
+#: Roughly the fixed patterns, to find documents to learn from.
+_LIKELY = r"[A-Za-z0-9]@[A-Za-z0-9-]+[.]|[0-9][.][0-9]+[.][0-9]+[.][0-9]|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[+][0-9][0-9 ().-]{8}"
 #: What may be personal data, in any way of writing: words with an @, long numbers, dotted fours.
 _OWN = re.compile(r"[^\s@]*+@\S*|[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}|[0-9]++(?:\.[0-9]++){3}")
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -177,7 +181,7 @@ class Tagger:
                     self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag path of each row, and how much each position's tag beats none."""
+        """Best tag path of each row, and how much each position's tag, and the move to it, beats none."""
         e, m = self.scores(codes), self.p["move"]
         n, t, _ = e.shape
         best, back = e[:, 0], np.empty((n, t, _TAGS), np.int8)
@@ -190,27 +194,52 @@ class Tagger:
         rows = np.arange(n)
         for i in range(t - 1, 0, -1):
             path[:, i - 1] = back[rows, i, path[:, i]]
-        return path, np.take_along_axis(e, path[..., None].astype(np.int64), 2)[..., 0] - e[..., 0]
+        gain = np.take_along_axis(e, path[..., None].astype(np.int64), 2)[..., 0] - e[..., 0]
+        gain[:, 1:] += m[path[:, :-1], path[:, 1:]] - m[0, 0]
+        return path, gain
 
 
-def _planted(rng: np.random.Generator) -> tuple[str, str]:
-    """(kind, text) of one made-up span, or ("", text) of something with digits that is none."""
+def _made_up(rng: np.random.Generator, kind: str) -> str:
+    """A span of the kind as the patterns know it."""
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
-    pick = int(rng.integers(0, 10))
-    if pick < 2:
-        return "email", word(int(rng.integers(2, 9))) + str(rng.choice(["", ".", "_", "-"])) + (num(2) if rng.random() < 0.5 else word(3)) + "@" + word(int(rng.integers(3, 8))) + str(rng.choice(["", "7"])) + "." + str(rng.choice(["com", "org", "example.com", "net"]))
-    if pick < 4:
-        return "ip", ".".join(str(x) for x in rng.integers(0, 256, 4))
-    if pick < 6:
+    if kind == "email":
+        return word(int(rng.integers(2, 9))) + str(rng.choice(["", ".", "_", "-"])) + (num(2) if rng.random() < 0.5 else word(3)) + "@" + word(int(rng.integers(3, 8))) + str(rng.choice(["", "7"])) + "." + str(rng.choice(["com", "org", "example.com", "net"]))
+    if kind == "ip":
+        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == "card":
         d = str(rng.integers(3, 7)) + num(14)
         d += next(c for c in "0123456789" if _luhn(d + c))
-        sep = str(rng.choice(["", " ", "-", "."]))
-        return "card", sep.join(d[i : i + 4] for i in range(0, 16, 4))
+        return str(rng.choice(["", " ", "-"])).join(d[i : i + 4] for i in range(0, 16, 4))
+    a, b, c = num(3), num(3), num(4)
+    return str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}"]))
+
+
+def rewritten(rng: np.random.Generator, kind: str, span: str) -> str:
+    """The same data in a way of writing that no fixed pattern matches."""
+    if kind == "email":
+        user, host = span.split("@", 1)
+        at, dot = [(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" @ ", " . ")][int(rng.integers(6))]
+        return user + at + (host.replace(".", dot) if dot != "." else host + " dot")
+    digits = re.findall("[0-9]+", span)
+    if kind == "ip":
+        return str(rng.choice(["[.]", " . ", "(.)", " dot "])).join(digits)
+    whole = "".join(digits)
+    if kind == "card":
+        return str(rng.choice([".", "/", "_", " . "])).join(whole[i : i + 4] for i in range(0, len(whole), 4))
+    d = whole[-10:].rjust(10, "5")
+    return str(rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"001 {d[:3]} {d[3:6]} {d[6:]}", f"({d[:3]}) {d[3:6]} {d[6:]}"]))
+
+
+def _planted(rng: np.random.Generator) -> tuple[str, str]:
+    """(kind, text) of one made-up span, or ("", text) of something with digits that is none."""
+    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    pick = int(rng.integers(0, 11))
     if pick < 8:
-        a, b, c = num(3), num(3), num(4)
-        return "phone", str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}"]))
-    return "", str(rng.choice([num(int(rng.integers(1, 8))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"${num(3)}.{num(2)}", f"{num(2)}%", "@" + word(6), hashlib.md5(num(5).encode()).hexdigest()]))
+        span = _made_up(rng, KINDS[pick // 2])
+        return KINDS[pick // 2], rewritten(rng, KINDS[pick // 2], span) if rng.random() < 0.5 else span
+    return "", str(rng.choice([num(int(rng.integers(1, 8))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"${num(3)}.{num(2)}", f"{num(2)}%", "@" + word(6), f"at the dot {word(4)}", f"{num(4)}-{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", hashlib.md5(num(5).encode()).hexdigest()]))
 
 
 def masked(text: str) -> str:
@@ -218,29 +247,55 @@ def masked(text: str) -> str:
     return _OWN.sub(" ", text)
 
 
+def labelled(rng: np.random.Generator, text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A stretch of the corpus with the spans that the patterns find in it, some of them rewritten."""
+    out, marks, upto = "", [], 0
+    for lo, hi, kind in base_spans(text):
+        if lo < upto:
+            continue
+        span = text[lo:hi]
+        out += text[upto:lo]
+        if rng.random() < 0.5:
+            span = rewritten(rng, kind, span)
+        marks.append((kind, len(out), len(out) + len(span)))
+        out, upto = out + span, hi
+    return out + text[upto:], marks
+
+
 @lru_cache(maxsize=4)
-def trained(contexts: tuple[str, ...]) -> Tagger:
-    """A tagger from planted spans in stretches of the given texts, their own spans masked (or of plain words, if there are none)."""
+def trained(plain: tuple[str, ...], own: tuple[str, ...] = ()) -> Tagger:
+    """A tagger from spans that the patterns find in the texts of `own`, and from spans planted into those of `plain` (into plain words, if
+    there are none), whose own spans are masked."""
     rng = np.random.default_rng(99)
-    clean = [c for c in map(masked, contexts) if c.strip()] or ["the report was sent to the office and the reply came in the evening. "]
+    clean = [c for c in map(masked, plain) if c.strip()] or ["the report was sent to the office and the reply came in the evening. "]
     codes, tags = np.empty((EXAMPLES, SPAN), np.int64), np.zeros((EXAMPLES, SPAN), np.int64)
     for i in range(EXAMPLES):
-        base = clean[int(rng.integers(len(clean)))]
-        at = int(rng.integers(0, len(base)))
-        text, marks = base[at : at + int(rng.integers(0, 40))], []
-        while len(text) < SPAN:
-            kind, span = _planted(rng)
-            text += str(rng.choice([" ", " ", "\n", " (", ": "])) if text and text[-1] not in " \n" else ""
-            if kind:
-                marks.append((kind, len(text), len(text) + len(span)))
+        if own and i % 3 == 0:
+            text, marks = labelled(rng, own[int(rng.integers(len(own)))])
+            if marks:  # a window that holds one of them
+                at = marks[int(rng.integers(len(marks)))]
+                cut = max(0, min(at[1] - int(rng.integers(0, SPAN // 2)), len(text) - SPAN))
+                text, marks = text[cut:], [(k, lo - cut, hi - cut) for k, lo, hi in marks if hi > cut]
+        else:
+            base = clean[int(rng.integers(len(clean)))]
             at = int(rng.integers(0, len(base)))
-            text += span + str(rng.choice([" ", " ", ", ", ". ", "\n"])) + base[at : at + int(rng.integers(5, 40))]
+            text, marks = base[at : at + int(rng.integers(0, 40))], []
+            while len(text) < SPAN:
+                kind, span = _planted(rng)
+                text += str(rng.choice([" ", " ", "\n", " (", ": "])) if text and text[-1] not in " \n" else ""
+                if kind:
+                    marks.append((kind, len(text), len(text) + len(span)))
+                at = int(rng.integers(0, len(base)))
+                text += span + str(rng.choice([" ", " ", ", ", ". ", "\n"])) + base[at : at + int(rng.integers(5, 40))]
         codes[i] = _codes(text, SPAN)
         for kind, lo, hi in marks:
             k = 1 + 2 * KINDS.index(kind)
-            tags[i, lo:hi] = k + 1
-            if lo < SPAN:
+            tags[i, max(0, lo) : hi] = k + 1
+            if 0 <= lo < SPAN:
                 tags[i, lo] = k
+    # a span cut by a window's start begins there
+    first = tags[:, 0]
+    tags[:, 0] = np.where((first > 0) & (first % 2 == 0), first - 1, first)
     tagger = Tagger(rng)
     tagger.train(codes, tags, rng)
     return tagger
@@ -250,7 +305,7 @@ def _plausible(kind: str, text: str) -> bool:
     """What any span of a kind must meet, however it is written."""
     digits = [c for c in text if c in "0123456789"]
     if kind == "email":
-        return "@" in text[1:-1]
+        return "@" in text[1:-1] or re.search(r"\w[\W_]+at[\W_]+\w.*\bdot\b", text, re.I) is not None
     if kind == "ip":
         parts = re.findall("[0-9]{1,9}", text)
         return len(parts) == 4 and all(int(p) < 256 for p in parts)
@@ -372,20 +427,26 @@ def _joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def contexts(docs: DataFrame) -> tuple[str, ...]:
-    """The stretches to train on. The hashes of least value come first by themselves, so that no texts are sent for other documents."""
-    hashed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("string").alias("text"))
-    last = [r["h"] for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
-    if not last:
-        return ()
+def contexts(docs: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The stretches to train on: from anywhere in SAMPLE texts of least hash, and around likely personal data of SAMPLE texts that hold some.
+
+    A threshold goes before the sort (least_hashes), so that what reaches the driver does not grow with rows or tasks.
+    """
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    total, h = rows.count(), F.xxhash64("doc_id", "text")
     room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
-    parts = F.array(*[F.substring("text", F.pmod(F.xxhash64("h", F.lit(k)), room).cast("int") + 1, F.lit(STRETCH)) for k in range(STRETCHES)])
-    rows = hashed.where(F.col("h") <= max(last)).select("h", parts.alias("parts")).orderBy("h", "parts").limit(SAMPLE).collect()
-    return tuple(dict.fromkeys(p for r in rows for p in r["parts"]))
+    anywhere = F.array(*[F.substring("text", F.pmod(F.xxhash64(h, F.lit(k)), room).cast("int") + 1, F.lit(STRETCH)) for k in range(STRETCHES)])
+    around = F.array(F.substring("text", F.greatest(F.regexp_instr("text", F.lit(_LIKELY)) - STRETCH // 2, F.lit(1)), F.lit(STRETCH)))
+    out = []
+    likely = rows.where(F.col("text").rlike(_LIKELY))
+    for some, parts, number in ((rows, anywhere, total), (likely, around, likely.count())):
+        found = least_hashes(some, SAMPLE, "doc_id", "text", total=number).select(parts.alias("parts")).collect()
+        out.append(tuple(dict.fromkeys(p for r in found for p in r["parts"])))
+    return out[0], out[1]
 
 
 def _tagger(docs: DataFrame) -> Tagger:
-    return trained(contexts(docs))
+    return trained(*contexts(docs))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

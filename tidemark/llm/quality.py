@@ -145,6 +145,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = "stats"
     while name in docs.columns:
         name += "_"
+    kept = docs.columns
     out = StructType([*docs.schema, StructField(name, ArrayType(DoubleType()))])
 
     def measure(batches: Batches) -> Batches:
@@ -159,6 +160,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             (x,) = columns(batch, name)
             if x:
-                yield batch.filter(pa.array(model.score(np.array(x)) >= THRESHOLD)).select(docs.columns)
+                yield batch.filter(pa.array(model.score(np.array(x)) >= THRESHOLD)).select(kept)
 
     return rows.mapInArrow(run, docs.schema)
