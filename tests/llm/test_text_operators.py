@@ -184,6 +184,30 @@ def test_personal_data(spark, docs):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_quality_equals_a_plain_discriminant(spark):
+    """The shrunk covariances and densities written out with solve and slogdet, from the statistics of the training fold."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = {r["doc_id"]: quality.statistics((r["text"] or "").encode()) for r in d.collect()}
+    train = [(r["quality"], stats[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in stats and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x = {c: np.array([v for q, v in train if q == c]) for c in (0, 1)}
+    centred = {c: v - v.mean(0) for c, v in x.items()}
+    pooled = sum(v.T @ v for v in centred.values()) / len(train)
+    k = pooled.shape[0]
+
+    def density(v, c):
+        n = len(x[c])
+        own = quality.POOLED + (1 - quality.POOLED) * k / (n + k)
+        cov = (1 - quality.DIAGONAL) * ((1 - own) * centred[c].T @ centred[c] / n + own * pooled) + quality.DIAGONAL * np.diag(np.diag(pooled) + 1e-6)
+        y = v - x[c].mean(0)
+        return np.log(n / len(train)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * y @ np.linalg.solve(cov, y)
+
+    for r in quality.classify(d.withColumn("stats", F.lit("x")).withColumn("quality", F.lit(3)), labels.withColumn("text", F.lit("y"))).collect():
+        v = np.array(stats[r["doc_id"]])
+        want = 1 / (1 + np.exp(-np.clip((density(v, 1) - density(v, 0)) / quality.TEMPER, -40, 40)))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+        assert r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -292,6 +316,42 @@ def test_curves_recall(spark, vectors):
     assert curves.nearest(vectors.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name_and_empty_tables(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = {c: F.lit("keep") for c in ("copy", "s", "d", "z", "z0", "times", "of", "least", "document", "place", "row", "id", "n", "slot", "pass", "stats", "size", "used", "key")}
+    wide = docs.withColumns(more).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        narrow, got = f(spark, docs, folder), f(spark, wide, folder)
+        assert got.columns == wide.columns, name
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, narrow.collect())), name
+        assert all(r[c] == "keep" for r in got.select(*(F.col(f"`{c}`") for c in more)).distinct().collect() for c in more if c in r.asDict()), name
+        assert f(spark, wide.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), folder).count() == 0
+
+
+def test_mixing_stage_follows_the_slots(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    want = sorted((r["first_slot"], r["doc_id"]) for r in mixing.passes(docs).where("size > 0 and 2 * used >= size").collect())
+    assert got == [i for _, i in want]
+
+
+def test_mixing_schedule_has_low_discrepancy(spark):
+    aims = spark.createDataFrame([("a", 1, 1, 5.0, 3e5, 300_000, 0, 2576980377), ("b", 1, 2, 2.0, 1.5e5, 150_000, 2576980377, 3865470566), ("c", 1, 3, 1.0, 5e4, 50_000, 3865470566, 1 << 32)], "source string, source_size long, sid int, weight double, target double, quota long, lo long, hi long")
+    rows = sorted((r["slot"], r["sid"], r["rank"], r["words"]) for r in mixing.schedule(aims).collect())
+    assert len({r[0] for r in rows}) == len(rows)
+    for sid, quota in ((1, 300_000), (2, 150_000), (3, 50_000)):
+        own = [r for r in rows if r[1] == sid]
+        assert [r[2] for r in own] == list(range(len(own))) and sum(r[3] for r in own) == quota
+        for n in (50, 200, 500, 900):  # of the first n slots a share that is off by a few at most
+            assert abs(sum(r[0] <= n for r in own) - n * quota / 500_000) < 4
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -397,13 +457,63 @@ def test_tagged_spans_of_any_length_and_alignment(length):
 
 def test_training_contexts_come_from_whole_texts_with_numbers(spark):
     body = " ".join(f"word{i}" if i % 3 else f"in {1900 + i % 100}" for i in range(4000))
-    rows = [(i, body) for i in range(40)] + [(100, None), (101, ""), (102, "short 12"), (103, "mail a.b@c.org or 4417 7442 8035 1547 in 2001")]
-    got = pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert got == pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    where = sorted(body.index(c) for c in got if len(c) == pii.STRETCH)
+    rows = [(i, body) for i in range(40)] + [(100, None), (101, ""), (102, "short 12"), (103, "mail a.b@c.org or 4417 7442 8035 1547 in 2001"), (104, body + " call +1 212 555 0198 now")]
+    got, own = pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert (got, own) == pii.contexts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    where = sorted(body.index(c) for c in got if len(c) == pii.STRETCH and c in body)
     assert "short 12" in got and len(where) > 250 and where[0] < 2000 and where[-1] > 0.9 * len(body) and sum(w > 2000 for w in where) > 0.8 * len(where)
     assert all(any(ch.isdigit() for ch in pii.masked(c)) for c in got if len(c) == pii.STRETCH)
-    assert pii.masked(rows[-1][1]).split() == ["mail", "or", "in", "2001"]
+    assert pii.masked(rows[-2][1]).split() == ["mail", "or", "in", "2001"]
+    assert len(own) == 2 and rows[-2][1] in own and all(pii.base_spans(c) for c in own)
+
+
+# the contract's patterns, as they stand there
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def by_the_contract(text):
+    out = []
+    for place, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            luhn = sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(digits) <= 19 and luhn or kind == "phone" and 10 <= len(digits) <= 15:
+                out.append((m.start(), place, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_personal_data_equals_the_contracts_patterns(spark):
+    r = random.Random(8)
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6 + i, "".join(r.choice(["a", "é", ".", "@", "-", "+", " ", "(", ")", "1", "4", "25", "0", "\n", "4417 7442 8035 1547", "+1 212 555 0198", "10.0.0.1", "x@y.org"]) for _ in range(r.randint(0, 60)))) for i in range(1500)]
+    rows += [(7, None), (8, ""), (9, "z@a.bc " * 20_000), (9, "z@a.bc " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("x")).withColumn("n_ip", F.lit(None))
+    got = sorted(tuple(x) for x in pii.find_personal_data(df).drop("spans").collect())
+    want = []
+    for i, t in rows:
+        found = by_the_contract(t or "")
+        want.append((i, *(sum(f.startswith(k + ":") for f in found) for k in PATTERNS), hashlib.sha256(",".join(found).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_tagger_finds_rewritten_spans_of_texts_it_has_not_seen(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    plain, own = pii.contexts(d.where("doc_id % 2 = 0"))
+    tagger, rng = pii.trained(plain, own), np.random.default_rng(7)
+    hit, total, clean = defaultdict(int), defaultdict(int), 0
+    for x in d.where("doc_id % 2 = 1").collect():
+        base = pii.base_spans(x["text"] or "")
+        if base:
+            lo, hi, kind = base[0]
+            span = pii.rewritten(rng, kind, x["text"][lo:hi])
+            text = x["text"][max(0, lo - 100) : lo] + span + x["text"][hi : hi + 100]
+            total[kind] += 1
+            hit[kind] += any(k == kind and b > min(lo, 100) and a < min(lo, 100) + len(span) for a, b, k in pii.tagged_spans([text], tagger)[0])
+        elif x["text"]:
+            clean += len(pii.tagged_spans([x["text"]], tagger)[0])
+    assert all(hit[k] >= 0.6 * total[k] > 20 for k in pii.KINDS), (dict(hit), dict(total))
+    assert clean <= 5
 
 
 def test_near_duplicate_stage_keeps_every_text_of_a_shared_doc_id(spark):

@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE, STRETCHES, STRETCH = 256, 8, 250
 EXAMPLES, EPOCHS, HIDDEN, SPAN = 3072, 8, 16, 64
 #: A tagged span must beat "nothing" by this much on average.
-MARGIN = 0.5
+MARGIN = 0.1
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
