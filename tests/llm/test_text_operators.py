@@ -111,6 +111,26 @@ def test_repeats(spark, docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_compact_paths_that_do_not_branch(spark):
+    """Three documents repeat one passage whole, a fourth its middle only: the graph branches where the fourth enters."""
+    passage, own = words(400, 31), [words(30, 40 + i) for i in range(8)]
+    rows = [(1, passage), (2, own[0] + passage + own[1]), (3, own[2] + passage + own[3]), (4, own[4] + passage + own[5]), (5, own[6] + passage[150:260] + own[7]), (6, passage[:100] + ["odd"] + passage[101:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    found = repeats.pieces(df).cache()
+    n_arcs, n_heads = repeats.arcs(found).count(), repeats.heads(found).count()
+    assert n_heads == n_arcs > 0
+    spans = defaultdict(list)
+    for r in repeats.paths(df).collect():
+        assert r["n"] > 0 and rows[r["doc"] - 1][1][r["start"] : r["start"] + r["n"] + 19] == rows[r["src"] - 1][1][r["src_start"] : r["src_start"] + r["n"] + 19]
+        spans[r["doc"]].append((r["start"], r["n"]))
+    # compacted: fewer spans than pieces, but no longer ones than the repeated passages
+    assert sum(map(len, spans.values())) < found.count() / 2
+    for doc, lo, n in ((2, 30, 381), (3, 30, 381), (4, 30, 381), (5, 30, 91)):
+        assert {x for s, m in spans[doc] for x in range(s, s + m)} == set(range(lo, lo + n))
+    straight = df.where("doc_id in (1, 2)")
+    assert [(r["start"], r["n"]) for r in repeats.paths(straight).collect()] == [(30, 381)]
+
+
 def test_packing_round_trip(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -1,15 +1,16 @@
 """Substring dedup: windows of words that occur earlier in the corpus are removed.
 
-De Bruijn view: a window of ``size`` words is an edge between the two runs of size-1 words that it
-starts and ends with. Only repeated edges matter.
+A window of ``size`` words is an edge of the corpus's De Bruijn graph. Only repeated edges matter.
 
 1. Each task hashes its windows, keeps the first local occurrence of each edge and reports the other
    local ones as spans right away (a passage that is everywhere leaves a task once).
 2. Kept edges travel by minimizer (least hash of the shorter k-mers in the window): neighbouring
-   windows nearly always share it, so they travel as one run: bucket, coordinates of the run, 4 bytes a window.
+   windows nearly always share it, so they travel as one run: bucket, coordinates of the run, 8 bytes a window.
 3. In a bucket each edge with several occurrences points to its earliest one. Runs of edges whose
-   sources also follow one another are one path.
-4. Paths of a document whose ends meet (same node, sources in step) are joined to longer ones.
+   sources also follow one another are one piece of a path; an edge goes by the coordinates of its source.
+4. Compaction: pieces that follow one another in some document are joined by an arc. Where the piece behind has no other
+   successor and the piece ahead no other predecessor, and their sources are in step, the arc does not branch; pointer doubling
+   over such arcs gives each piece the head of its path, and a document's pieces on one path are one span.
 5. Source coordinates are looked up: the words of each source span are digested from the source's
    text, and a document drops a span only if its own words give the same digest.
 """
@@ -20,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, columns, rows_out, shuffle_partitions, stage, texts, window_hashes, word_hashes
@@ -59,8 +60,10 @@ def _unpacked(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-#: minimizer, document, start, windows (one entry a run), check (one a window)
-_KINDS = (np.uint64, np.int64, np.int32, np.uint8, np.uint32)
+#: minimizer, document, start, windows (one entry a run), check (one a window): an edge goes by minimizer and check, 128 bits in all
+_KINDS = (np.uint64, np.int64, np.int32, np.uint8, np.uint64)
+#: Bytes of text that a bucket stands for: their number grows with the input, so that a bucket does not.
+_BUCKET = 4 << 20
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -112,7 +115,7 @@ def _edges_of(size: int, buckets: int):
         at = np.flatnonzero(late)
         spans = _runs(doc[at], start[at], doc[first[at]], start[first[at]])
         at = np.flatnonzero(~late)
-        doc, start, least, check = doc[at], start[at], least[at], edge[at].astype(np.uint32)
+        doc, start, least, check = doc[at], start[at], least[at], edge[at]
         new = np.ones(len(at), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])
         head = np.flatnonzero(new)
@@ -195,19 +198,55 @@ def _bucket_paths(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SPANS, strict=True)], schema=_SPANS)
 
 
-def paths(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc, start, n, src, src_start: n consecutive windows of doc, from word start, whose words also start
-    earlier, at src_start of document src. Not yet checked against the text."""
+    earlier, at src_start of document src. Not yet compacted nor checked against the text."""
     spark = docs.sparkSession
-    buckets = 8 * shuffle_partitions(spark)
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8 * shuffle_partitions(spark), -(-volume // _BUCKET))
     edges = texts(docs).mapInArrow(_edges_of(size, buckets), "bucket int, blob binary")
     # local spans (bucket -1) are dealt out by salt
     salt = F.when(F.col("bucket") < 0, F.abs(F.xxhash64("blob")) % buckets).otherwise(0)
-    found = edges.groupBy("bucket", salt.alias("salt")).applyInArrow(_bucket_paths, _SPAN_DDL)
-    w = Window.partitionBy("doc").orderBy("start", "n")
-    meets = (F.col("start") == F.lag(F.col("start") + F.col("n")).over(w)) & (F.col("src") == F.lag("src").over(w)) & (F.col("src_start") == F.lag(F.col("src_start") + F.col("n")).over(w))
-    joined = found.withColumn("head", F.when(F.coalesce(meets, F.lit(False)), 0).otherwise(1)).withColumn("path", F.sum("head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("doc", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_start").alias("src_start")).drop("path")
+    return edges.groupBy("bucket", salt.alias("salt")).applyInArrow(_bucket_paths, _SPAN_DDL)
+
+
+def arcs(found: DataFrame) -> DataFrame:
+    """src, src_start, n (a piece) and n_ahead (of the piece ahead, whose source is in step) of arcs that do not branch."""
+    here = found.select("doc", (F.col("start") + F.col("n")).alias("at"), *(F.col(c).alias(f"a_{c}") for c in ("src", "src_start", "n")))
+    ahead = found.select("doc", F.col("start").alias("at"), *(F.col(c).alias(f"b_{c}") for c in ("src", "src_start", "n")))
+    arc = here.join(ahead, ["doc", "at"]).drop("doc", "at").distinct()
+    a, b = ["a_src", "a_src_start", "a_n"], ["b_src", "b_src_start", "b_n"]
+    out = arc.groupBy(*a).agg(F.count("*").alias("out"), F.first(F.struct(*b)).alias("ahead")).where("out = 1")
+    single = arc.groupBy(*b).agg(F.count("*").alias("into")).where("into = 1")
+    straight = out.where("ahead.b_src = a_src and ahead.b_src_start = a_src_start + a_n").select(*a, "ahead.*")
+    return straight.join(single.drop("into"), b).select(F.col("a_src").alias("src"), F.col("a_src_start").alias("src_start"), F.col("a_n").alias("n"), F.col("b_n").alias("n_ahead"))
+
+
+def heads(found: DataFrame) -> DataFrame:
+    """src, src_start, n, head, head_n: the piece at the head of each piece's path, for pieces that have one before them.
+
+    Pointers double: each round every piece takes its pointer's pointer, so a path of m pieces needs log2(m) rounds.
+    """
+    now = stage(arcs(found).select("src", (F.col("src_start") + F.col("n")).alias("src_start"), F.col("n_ahead").alias("n"), F.col("src_start").alias("head"), F.col("n").alias("head_n")))
+    while True:
+        up = now.select("src", F.col("src_start").alias("head"), F.col("n").alias("head_n"), F.col("head").alias("higher"), F.col("head_n").alias("higher_n"))
+        step = stage(now.join(up, ["src", "head", "head_n"], "left").select("src", "src_start", "n", F.coalesce("higher", "head").alias("head"), F.coalesce("higher_n", "head_n").alias("head_n"), F.col("higher").isNotNull().alias("moved")))
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return now
+
+
+def paths(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc, start, n, src, src_start, as pieces() gives them, with the pieces of a document that lie on one path joined."""
+    found = stage(pieces(docs, size))
+    placed = found.join(heads(found), ["src", "src_start", "n"], "left").withColumn("head_n", F.coalesce("head_n", "n")).withColumn("head", F.coalesce("head", "src_start"))
+    one = F.struct("start", "n", "src_start").alias("p")
+    runs = placed.groupBy("doc", "src", "head", "head_n", (F.col("start") - F.col("src_start")).alias("ahead")).agg(
+        F.min(one).alias("first"), F.sum("n").cast("int").alias("n"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("reach"), F.collect_list(one).alias("parts")
+    )
+    # a document that leaves a path and comes back to it keeps its pieces apart
+    whole = F.array(F.struct(F.col("first.start").alias("start"), "n", F.col("first.src_start").alias("src_start")))
+    return runs.select("doc", "src", F.explode(F.when(F.col("n") == F.col("reach"), whole).otherwise(F.col("parts"))).alias("p")).select("doc", "p.start", "p.n", "src", "p.src_start")
 
 
 def _digest(words: list[bytes], start: int, n: int, size: int) -> bytes:
@@ -264,7 +303,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     doc_id, or earlier in its own. Null and empty texts have no words. Documents shorter than a window keep
     all. Rows with a null doc_id have no place in the order: they keep all their words and are no source.
     Rows that repeat a doc_id count as one place: they are not removed against each other, and a
-    span goes from those of them that hold its words. Other columns of docs play no part.
+    span goes from those of them that hold its words. Texts of any length are read whole; an empty table gives no rows; other columns of
+    docs play no part.
     """
     rows = texts(docs)
     # dealt out once: both joins below read the same exchange
