@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, metrics, timeseries
-from tidemark.streaming import folds
+from tidemark.streaming import folds, keyed
 
 
 def weights(spark, caps):
@@ -30,11 +30,43 @@ def test_attention_opens_closes_and_unknown_resets(spark):
     assert got == [(0, 20), (31, 31)]
 
 
-def test_hysteresis(spark):
-    rows = [(1, 1, 0.0, True), (1, 2, 9.0, True), (1, 3, 10.0, True), (1, 4, 20.0, False), (1, 5, 80.0, False), (1, 6, 100.0, True), (1, 7, 200.0, None), (1, 8, 300.0, False), (1, 9, 901.0, False)]
-    s = spark.createDataFrame(rows, "key long, sequence long, at double, qualifies boolean")
-    got = [r["state"] for r in folds.hysteresis(s).orderBy("sequence").collect()]
-    assert got == ["CANDIDATE", "CANDIDATE", "ACTIVE", "ACTIVE", "WEAKENING", "ACTIVE", "ACTIVE", "ACTIVE", "CLOSED"]
+def hysteresis_states(rows):
+    s = keyed.hysteresis_start()
+    return [keyed.hysteresis_step(s, (i, i, float(at), q, closed, expired)) for i, (at, q, closed, expired) in enumerate(rows)]
+
+
+def test_hysteresis_golden():
+    live = [(0, True), (9, True), (10, True), (20, False), (79, False), (80, False), (100, True), (200, None), (300, False), (400, False), (999, False), (1000, False), (1100, True)]
+    got = hysteresis_states([(*x, False, False) for x in live])
+    assert [s for _, s in got] == ["CANDIDATE", "CANDIDATE", "ACTIVE", "ACTIVE", "ACTIVE", "WEAKENING", "ACTIVE", "ACTIVE", "ACTIVE", "WEAKENING", "WEAKENING", "CLOSED", "CLOSED"]
+    assert got[-1][0] == "TERMINAL"
+    assert hysteresis_states([(0, None, True, False)])[0] == ("TRANSITIONED", "DISCARDED")
+    assert hysteresis_states([(0, True, False, True)])[0] == ("TRANSITIONED", "DISCARDED")
+    # an unknown input sets the timer back, and late strength closes
+    assert [s for _, s in hysteresis_states([(0, True, 0, 0), (9, None, 0, 0), (11, True, 0, 0), (21, True, 0, 0), (30, False, 0, 0), (90, False, 0, 0), (100, None, 0, 0), (691, True, 0, 0)])][-4:] == ["ACTIVE", "WEAKENING", "WEAKENING", "CLOSED"]
+    s = keyed.hysteresis_start()
+    steps = [(1, 5, 10.0), (1, 6, 11.0), (2, 5, 12.0), (3, 7, 9.0)]
+    assert [keyed.hysteresis_step(s, (*x, True, False, False))[0] for x in steps] == ["NO_TRANSITION", "DUPLICATE", "STALE_SEQUENCE", "STALE_TIME"]
+
+
+def test_order_fence_golden():
+    s = keyed.fence_start()
+    rows = [(1, "a", "p", 0, 5, 10, 10, True), (1, "a", "p", 0, 5, 10, 10, True), (1, "a", "q", 0, 5, 10, 10, True), (1, "b", "p", 0, 4, 11, 11, True), (1, "c", "p", 0, 6, 9, 11, True), (1, "d", "p", 1, 1, 12, 9, True), (1, "e", "p", 1, 1, 12, 10, False), (1, "f", "p", 1, 1, 12, 12, False), (2, "g", "p", 0, 1, 20, 20, True), (1, "h", "p", 0, 9, 30, 30, True)]
+    want = ["ACCEPTED", "DUPLICATE", "CONFLICT", "OUT_OF_ORDER", "OUT_OF_ORDER", "OLD_OBSERVATION", "OLD_OBSERVATION", "ACCEPTED", "ACCEPTED", "OLD_SESSION"]
+    assert [keyed.fence_step(s, r)[0] for r in rows] == want
+
+
+def test_streamed_hysteresis_equals_the_batch_fold(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 20")
+    s = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("arrival"), F.col("event_id").alias("input_id"), F.col("event_id").alias("sequence"), (F.unix_timestamp(F.col("ts").cast("timestamp")) / 400).alias("at"), (F.col("value") > 10).alias("qualifies"), (F.col("event_id") % 97 == 0).alias("market_closed"), F.lit(False).alias("expired"))
+    for i in range(3):
+        s.where(F.col("arrival") % 900 >= i * 300).where(F.col("arrival") % 900 < (i + 1) * 300).orderBy("arrival").coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "part0"))
+    q = keyed.stream_hysteresis(stream).writeStream.format("memory").queryName("hysteresis").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = sorted(map(tuple, spark.table("hysteresis").collect()))
+    want = keyed.hysteresis(spark.read.parquet(str(tmp_path / "part0")), ["key"], "key long")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 10
 
 
 def test_stream_counts_as_batch(spark, tmp_path):

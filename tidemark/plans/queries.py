@@ -191,13 +191,6 @@ def hot_state_fold(spark, d):
     return folds.latest_state(table(spark, d, "events"))
 
 
-@query()
-def hysteresis_fold(spark, d):
-    e = table(spark, d, "events")
-    s = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("sequence"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.when(F.col("event_type") == "error", None).otherwise(F.col("value") > 10).alias("qualifies"))
-    return folds.hysteresis(s)
-
-
 @query("WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, CASE WHEN now - last <= INTERVAL 6 HOUR THEN 'FRESH' WHEN now - last <= INTERVAL 12 HOUR THEN 'LOW_CONFIDENCE' ELSE 'STALE' END AS status FROM l, n")
 def freshness_coverage(spark, d):
     e = table(spark, d, "events")

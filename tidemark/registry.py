@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import history, market, reference, research  # noqa: F401  (they register their queries)
+from .plans import history, market, reference, research, stream  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "theme_return_rank"

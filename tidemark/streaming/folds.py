@@ -1,8 +1,7 @@
-"""Keyed folds over ordered events: the batch twins of the stateful stream operators."""
+"""Hot state, merged sources, windows and deduplication of event streams."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,45 +14,19 @@ def latest_state(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"), F.count_if(~F.col("stale")).alias("applied"), F.count_if("stale").alias("stale"))
 
 
-def hysteresis(signals: DataFrame, activate_s: float = 10, weaken_s: float = 60, close_s: float = 600) -> DataFrame:
-    """signals: key, sequence, at (epoch seconds), qualifies (true, false, null). Adds state after each input, in order
-    of sequence: CANDIDATE, ACTIVE after qualifying long enough, WEAKENING after failing long enough, CLOSED after failing
-    longer (or requalifying too late). An unknown input sets the timers back. One key's inputs
-    (a theme's evaluations of a day) are folded together in one task."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence", kind="stable")
-        state, good, bad, weak, out = "CANDIDATE", None, None, None, []
-        for at, q in zip(pdf["at"].tolist(), pdf["qualifies"].tolist(), strict=True):
-            if state != "CLOSED":
-                if q is None or pd.isna(q):
-                    good = bad = None
-                elif q:
-                    bad, good = None, at if good is None else good
-                    if state == "WEAKENING":
-                        state = "CLOSED" if at - weak > close_s else "ACTIVE"
-                    elif state == "CANDIDATE" and at - good >= activate_s:
-                        state = "ACTIVE"
-                else:
-                    good, bad = None, at if bad is None else bad
-                    if state == "ACTIVE" and at - bad >= weaken_s:
-                        state, weak = "WEAKENING", at
-                    if state == "WEAKENING" and at - bad >= close_s:
-                        state = "CLOSED"
-            out.append(state)
-        return pd.DataFrame({"key": pdf["key"], "sequence": pdf["sequence"], "state": out})
-
-    return signals.select("key", "sequence", "at", "qualifies").groupBy("key").applyInPandas(fold, schema="key long, sequence long, state string")
-
-
 def merged(sources: list[DataFrame], at: str, tie: str) -> DataFrame:
-    """Sources in one order: by time, then source number, then `tie`; position per day and source kept as columns."""
+    """Sources in one order: by time, then source number, then `tie`; position within the day, which is counted in two steps (within the minute,
+    then minutes of a day), so that no task sorts a whole day."""
     both = None
     for i, s in enumerate(sources):
         s = s.withColumn("source_rank", F.lit(i))
         both = s if both is None else both.unionByName(s)
-    w = Window.partitionBy(F.to_date(at)).orderBy(at, "source_rank", tie)
-    return both.withColumn("position", F.row_number().over(w).cast("long"))
+    both = both.withColumn("minute", F.date_trunc("minute", at))
+    counts = both.groupBy("minute").agg(F.count("*").alias("c"))
+    ahead = Window.partitionBy(F.to_date("minute")).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("c").over(ahead), F.lit(0))).drop("c")
+    inside = F.row_number().over(Window.partitionBy("minute").orderBy(at, "source_rank", tie))
+    return both.withColumn("inside", inside).join(counts, "minute").withColumn("position", F.col("ahead") + F.col("inside")).drop("minute", "inside", "ahead")
 
 
 def minute_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
