@@ -110,14 +110,14 @@ def supplemental_gate(spark, d):
     return L.quota(e, "20 minutes", 1).select("id", "status")
 
 
-_BLIND = "a AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_custkey % 3 = 0 THEN '5-LOW' ELSE '1-URGENT' END AS alt FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 4 = 0 THEN '5-LOW' ELSE o_orderpriority END AS p, '2-HIGH' AS alt FROM orders WHERE o_orderkey % 13 <> 0)"
+_BLIND = "a AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_custkey % 3 = 0 THEN '5-LOW' ELSE '1-URGENT' END AS alt FROM orders WHERE o_totalprice > 20000), b AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 4 = 0 THEN '5-LOW' ELSE o_orderpriority END AS p, '2-HIGH' AS alt FROM orders WHERE o_totalprice < 480000)"
 
 
 @query(f"WITH {_BLIND} SELECT coalesce(a.k, b.k) AS k, a.p AS first, b.p AS second, CASE WHEN a.p IS NULL OR b.p IS NULL THEN 'MISSING' WHEN a.p = b.p THEN 'STRICT' WHEN list_has_any([a.p, a.alt], [b.p, b.alt]) THEN 'LENIENT' ELSE 'DISAGREE' END AS status FROM a FULL JOIN b ON a.k = b.k")
 def blind_review(spark, d):
     o, c, k = table(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey")
-    a = o.where(k % 11 != 0).select(k.alias("k"), F.col("o_orderpriority").alias("primary"), F.when(c % 3 == 0, "5-LOW").otherwise("1-URGENT").alias("alternative"))
-    b = o.where(k % 13 != 0).select(k.alias("k"), F.when(c % 4 == 0, "5-LOW").otherwise(F.col("o_orderpriority")).alias("primary"), F.lit("2-HIGH").alias("alternative"))
+    a = o.where("o_totalprice > 20000").select(k.alias("k"), F.col("o_orderpriority").alias("primary"), F.when(c % 3 == 0, "5-LOW").otherwise("1-URGENT").alias("alternative"))
+    b = o.where("o_totalprice < 480000").select(k.alias("k"), F.when(c % 4 == 0, "5-LOW").otherwise(F.col("o_orderpriority")).alias("primary"), F.lit("2-HIGH").alias("alternative"))
     return L.agreement(a, b, "k")
 
 

@@ -100,10 +100,10 @@ def rank_history(spark, d):
     return M.rank_history(k, F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), "300 minutes").select("key", "event_id")
 
 
-@query("WITH t AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_custkey % 40 = 0), q AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), n AS (SELECT q.day, min(t.day) AS nd FROM q LEFT JOIN t ON t.day > q.day GROUP BY 1) SELECT day, CASE WHEN nd - day <= 14 THEN nd END AS next_day FROM n")
+@query("WITH t AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 490000), q AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), n AS (SELECT q.day, min(t.day) AS nd FROM q LEFT JOIN t ON t.day > q.day GROUP BY 1) SELECT day, CASE WHEN nd - day <= 14 THEN nd END AS next_day FROM n")
 def next_trading_day(spark, d):
-    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_custkey")
-    return M.next_trading_day(o.select("day").distinct(), o.where("o_custkey % 40 = 0").select("day").distinct())
+    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    return M.next_trading_day(o.select("day").distinct(), o.where("o_totalprice > 490000").select("day").distinct())
 
 
 @query(f"WITH {_DAILY}, p AS (SELECT stock_id, day, close, CASE WHEN stock_id % 3 <> 0 THEN close * 0.9::DOUBLE END AS adjusted FROM daily), c AS (SELECT *, coalesce(adjusted, close) AS used FROM p) SELECT stock_id, day, round((used / lag(used) OVER (PARTITION BY stock_id ORDER BY day) - 1) * 100, 6) AS ret FROM c")

@@ -99,9 +99,9 @@ def calendar_states(spark, d):
     return R.resolve_calendar(c, decision())
 
 
-@query("WITH s AS (SELECT o_orderdate::DATE AS day, count(*) AS records FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0 GROUP BY 1), e AS (SELECT unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM s), c AS (SELECT e.day, records IS NOT NULL AS open, records IS NULL AND isodow(e.day) < 6 AS unresolved FROM e LEFT JOIN s USING (day)), w AS (SELECT day, max(CASE WHEN open THEN day END) OVER b AS o, max(CASE WHEN unresolved THEN day END) OVER b AS u FROM c WINDOW b AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT day, CASE WHEN (u IS NULL OR u < o) AND day - o <= 370 THEN o END AS previous_day FROM w")
+@query("WITH s AS (SELECT o_orderdate::DATE AS day, count(*) AS records FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 350000 GROUP BY 1), e AS (SELECT unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM s), c AS (SELECT e.day, records IS NOT NULL AS open, records IS NULL AND isodow(e.day) < 6 AS unresolved FROM e LEFT JOIN s USING (day)), w AS (SELECT day, max(CASE WHEN open THEN day END) OVER b AS o, max(CASE WHEN unresolved THEN day END) OVER b AS u FROM c WINDOW b AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT day, CASE WHEN (u IS NULL OR u < o) AND day - o <= 370 THEN o END AS previous_day FROM w")
 def previous_day_guarded(spark, d):
-    t = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_custkey % 3 = 0").select(F.to_date("o_orderdate").alias("day"))
+    t = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 350000").select(F.to_date("o_orderdate").alias("day"))
     return R.guarded_previous_day(asof.calendar_counts(t, t.agg(F.min("day").alias("day"))))
 
 
