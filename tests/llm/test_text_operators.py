@@ -270,6 +270,43 @@ def test_chats(spark):
     assert got[3]["text"] == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|user|>\nc<|end|>\n" and got[5]["n_turns"] == 1
 
 
+def test_chats_awkward_tables(spark):
+    ddl = "conv_id long, turn long, role string, text string"
+    assert chat.format_chats(spark.createDataFrame([], ddl)).count() == 0
+    long = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * (20_000 if i == 5 else 1)) for i in range(400)]
+    rows = [*long, *((2, *r[1:]) for r in long[:399]), *((3, *r[1:]) for r in long), (None, 0, None, None)]
+    df = spark.createDataFrame(rows, ddl).withColumn("id", F.lit("x")).withColumn("turns", F.lit(1)).withColumn("ids", F.lit(None))
+    got = chat.format_chats(df.union(df)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 400)]
+    assert got[0]["text"] == "".join(f"<|{r[2]}|>\n{r[3]}<|end|>\n" for r in long)
+
+
+def test_near_duplicates_of_large_open_buckets(spark, monkeypatch):
+    """Many variants around one text: buckets stay open with several components, small blocks and several tasks a bucket."""
+    for name, value in (("_BLOCK", 4), ("_SPREAD", 8), ("_FILTER_IDS", 3)):
+        monkeypatch.setattr(sketches, name, value)
+    r = random.Random(3)
+    base = words(60, 7)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(60)] = f"new{r.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(56)) for i, t in rows}
+    parent = list(range(90))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: find(i) for i in range(90)}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     r = np.random.default_rng(3)
@@ -322,7 +359,7 @@ def test_exact_search_bounds_leave_out_far_cells(spark):
 def test_curves_recall(spark, vectors):
     rows = [(i, np.array(v)) for i, v in usable(vectors) if any(v)]
     got = defaultdict(list)
-    for r in curves.nearest(vectors, share=0.1).collect():
+    for r in curves.nearest(vectors.withColumn("curve", F.lit("x")).withColumn("key", F.lit(1)).withColumn("score", F.lit(None)), share=0.1).collect():
         got[r["query_id"]].append(r)
     hit = total = 0
     for i, q in rows:

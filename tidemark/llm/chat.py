@@ -29,7 +29,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     A turn is rendered <|role|>, new line, text, <|end|>, new line; null role: unknown, null text: empty. Rows
     that repeat a whole turn count once; different turns with one number stand in order of role, then text. A
-    null turn number comes first. Rows without conv_id take no part. Other columns play no part.
+    null turn number comes first. Rows without conv_id take no part. Texts of any length are rendered whole; an empty table gives no
+    rows. Other columns play no part. The hashes of a conversation's prefixes are rolled within its row, so its turns must fit one.
     """
     convs = conversations(turns)
     known = convs.select("conv_id", F.element_at("ids", -1).alias("id"), "ids")

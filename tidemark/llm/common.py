@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: the executors of a cluster share no other folder")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _own_folder[0]

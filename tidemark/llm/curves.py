@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, columns, rows_out, shuffle_partitions, stage
+from .common import Batches, columns, least_hashes, rows_out, shuffle_partitions, stage
 from .vectors import usable
 
 K, EVERY = 10, 100
@@ -149,13 +149,13 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
 
     Vectors that are null, zero, or hold null or non-finite components, or have no vec_id, take no part. Vectors of
     another length than the query's are no candidates. Ties go to the smaller vec_id. Rows that repeat a vec_id count
-    once a distinct vector. With few rows the window holds all of them (it is k ranks at least).
+    once a distinct vector, and by the nearest of them. An empty table gives no rows; other columns play no part. With few rows the window holds all of them (it is k ranks at least).
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings).where(F.exists("embedding", lambda x: x != 0)).distinct()
     rows = stage(_few_copies(rows, k, every))
     sample: dict[int, list] = {}
-    for r in rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(SAMPLE).collect():
+    for r in least_hashes(rows.select("vec_id", "embedding"), SAMPLE, "vec_id").collect():
         sample.setdefault(len(r["embedding"]), []).append(r["embedding"])
     scale = {d: (np.mean(v, axis=0), max(1e-12, float(np.sqrt(np.var(v, axis=0).mean())))) for d, v in sample.items()}
     # single-precision input travels as such and is widened before distances are taken: the same numbers

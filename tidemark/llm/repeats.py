@@ -64,6 +64,7 @@ def _unpacked(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 _KINDS = (np.uint64, np.int64, np.int32, np.uint8, np.uint64)
 #: Bytes of text that a bucket stands for: their number grows with the input, so that a bucket does not.
 _BUCKET = 4 << 20
+_TASK = 48 << 20
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -198,16 +199,26 @@ def _bucket_paths(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SPANS, strict=True)], schema=_SPANS)
 
 
+def _volume(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _tasks(docs: DataFrame, volume: int) -> int:
+    """Partitions of a shuffle that carries the texts or their edges: the session's, or more if each would hold over _TASK bytes of text."""
+    return max(shuffle_partitions(docs.sparkSession), -(-volume // _TASK))
+
+
 def pieces(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc, start, n, src, src_start: n consecutive windows of doc, from word start, whose words also start
     earlier, at src_start of document src. Not yet compacted nor checked against the text."""
     spark = docs.sparkSession
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    volume = _volume(docs)
     buckets = max(8 * shuffle_partitions(spark), -(-volume // _BUCKET))
     edges = texts(docs).mapInArrow(_edges_of(size, buckets), "bucket int, blob binary")
     # local spans (bucket -1) are dealt out by salt
     salt = F.when(F.col("bucket") < 0, F.abs(F.xxhash64("blob")) % buckets).otherwise(0)
-    return edges.groupBy("bucket", salt.alias("salt")).applyInArrow(_bucket_paths, _SPAN_DDL)
+    return edges.withColumn("salt", salt).repartition(_tasks(docs, volume), "bucket", "salt").groupBy("bucket", "salt").applyInArrow(_bucket_paths, _SPAN_DDL)
 
 
 def arcs(found: DataFrame) -> DataFrame:
@@ -308,7 +319,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     rows = texts(docs)
     # dealt out once: both joins below read the same exchange
-    placed = rows.where(F.col("doc_id").isNotNull()).repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+    placed = rows.where(F.col("doc_id").isNotNull()).repartition(_tasks(docs, _volume(docs)), "doc_id")
     found = stage(paths(docs, size))
     wanted = found.select("src", "src_start", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("src_start", "n")).alias("wanted"))
     digests = placed.join(wanted, placed["doc_id"] == wanted["src"]).select("doc_id", "text", "wanted").mapInArrow(_source_digests(size), "src long, src_start int, n int, digest binary").distinct()

@@ -36,7 +36,10 @@ SLACK = 4.5
 #: Further registers of the members of buckets that stay open.
 EXTRA = 896
 _BLOCK = 256
-_FILTER_BITS = 1 << 25
+#: Bits of the filter for each id that it lets through, and the most ids that get one; beyond, a join alone sorts the texts out.
+_FILTER_BITS, _FILTER_IDS = 16, 1 << 23
+#: Members of a bucket that one task compares with the bucket's odd ones.
+_SPREAD = 4096
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary())])
 
 
@@ -165,11 +168,16 @@ def _confirmed(batches: Batches) -> Batches:
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text of the documents whose doc_id is among ids (one long column), and of few others.
 
-    A bitmap of _FILTER_BITS bits (its size is fixed, whatever the input) leaves most other texts out before any shuffle.
+    A bitmap of _FILTER_BITS bits an id, 16 MB at most, leaves most other texts out before any shuffle; for more ids than _FILTER_IDS
+    a semi-join does.
     """
-    h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(_FILTER_BITS))
+    n = ids.count()
+    if n > _FILTER_IDS:
+        return texts(docs).where("doc_id is not null and text is not null").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi")
+    bits_in_all = 1 << max(16, (n * _FILTER_BITS - 1).bit_length())
+    h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits_in_all))
     word, bit = F.shiftright(h, 6), (h % 64).cast("int")
-    bits = ids.toDF("doc_id").select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), %d), 64) as int))" % _FILTER_BITS).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bits = ids.toDF("doc_id").select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), %d), 64) as int))" % bits_in_all).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     whole = texts(docs).where("doc_id is not null and text is not null").select("doc_id", "text", word.alias("word"), bit.alias("at"))
     return whole.join(F.broadcast(bits), "word").where(F.expr("(shiftrightunsigned(bits, at) & 1L) = 1L")).select("doc_id", "text")
 
@@ -246,8 +254,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     longer = opened.select("rep").distinct().join(classes.select("rep", "registers"), "rep").join(whole, "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / _BLOCK))
     member = F.struct("rep", "component", "n", "registers")
-    blocks = stage(opened.join(classes.select("rep", "n"), "rep").join(longer, "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members")))
-    pairs = stage(blocks.where("outside").select("key", "band", F.col("members").alias("odd")).join(blocks.select("key", "members"), "key").mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    blocks = stage(opened.join(classes.select("rep", "n"), "rep").join(longer, "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members"), F.ceil(F.first("total") / _SPREAD).alias("spread")))
+    # a large bucket's members are dealt over several tasks; its odd blocks, never more of them, go to each
+    odd = blocks.where("outside").select("key", "band", F.col("members").alias("odd"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
+    dealt = blocks.select("key", "members", F.pmod(F.xxhash64("block", "outside"), F.col("spread")).alias("salt"))
+    pairs = stage(odd.join(dealt, ["key", "salt"]).mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
     more = stage(_links(pairs, docs))
     if more.limit(1).count():
         found = components(links.unionByName(more))
