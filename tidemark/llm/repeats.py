@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Batches, columns, rows_out, shuffle_partitions, stage, texts, window_hashes, word_hashes
 
 SIZE = 20
-_CHUNK = 2_000_000
+_CHUNK = 1_200_000
 _EDGES = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
 _SPAN_DDL = "doc long, start int, n int, src long, src_start int"
