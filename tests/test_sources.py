@@ -67,3 +67,40 @@ def test_overlaps_and_loads(spark):
     held = spark.createDataFrame([(1, "x"), (2, None)], "key int, v string")
     got = writes.load_labels(held, spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (1, "z")], "key int, v string"), "key", "v").collect()
     assert sorted(map(tuple, got)) == [(1, "CONFLICT"), (1, "SKIP"), (2, "SKIP"), (3, "INSERT")]
+
+
+def test_dumped_posts_shares_indexes_and_references(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "posts").mkdir()
+    (tmp_path / "posts/p.json").write_text(json.dumps({"posts": [{"post_id": "1", "title": "T", "published_at": "2024-01-02T08:00:00", "visible": True, "relations": [{"kind": "THEME", "theme": "t", "code": None, "rate": 1.5}, {"kind": "STOCK", "theme": "t", "code": "000010", "rate": None}]}, {"post_id": "2", "title": "U", "relations": []}]}))
+    got = [(r["post_id"], r["place"], r["kind"], r["rate"]) for r in files.daily_posts(spark, str(tmp_path / "posts")).orderBy("post_id", "place").collect()]
+    assert got == [("1", 0, "THEME", 1.5), ("1", 1, "STOCK", None), ("2", None, None, None)]
+    (tmp_path / "shares").mkdir()
+    (tmp_path / "shares/s.json").write_text(json.dumps({"code": "000010", "day": "2023-12-31", "rows": [{"kind": "Shares issued", "holder": None, "count": "1,000"}, {"kind": "Largest shareholder", "holder": "X", "count": "300"}, {"kind": "Treasury stock", "holder": None, "count": "-"}]}))
+    shares = files.share_totals(spark, str(tmp_path / "shares"))
+    assert {(r["category"], r["shares"]) for r in shares.collect()} == {("ISSUED", 1000), ("CONTROLLING_HOLDER", 300), ("TREASURY", None)}
+    (tmp_path / "zip").mkdir()
+    with zipfile.ZipFile(tmp_path / "zip/c.zip", "w") as z:
+        z.writestr("CORPCODE.xml", "<result><list><corp_code>1</corp_code><corp_name> One </corp_name><stock_code>000010</stock_code></list><list><corp_code>2</corp_code><corp_name>Two</corp_name><stock_code> </stock_code></list></result>")
+    assert sorted(map(tuple, files.company_index(spark, str(tmp_path / "zip")).collect())) == [("1", "One", "000010"), ("2", "Two", None)]
+    (tmp_path / "A").mkdir()
+    (tmp_path / "A/20240102.json").write_text(envelope("20240102", [("000010", "One", "A", "100", "0", "1", "1", "1", "1", "1", "1,000")]))
+    refs = files.collected_references(files.daily_envelopes(spark, str(tmp_path / "A")), shares).collect()
+    assert {(r["source"], r["kind"], int(r["value"])) for r in refs} == {("EXCHANGE", "CLOSE", 100), ("EXCHANGE", "LISTED", 1000), ("FILING", "ISSUED", 1000), ("FILING", "CONTROLLING_HOLDER", 300)}
+
+
+def test_bundles_keys_history_and_catalog(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("", "a"), (None, "a")], "x string, y string")
+    path = str(tmp_path / "bundles")
+    assert writes.import_bundle(rows, path, "d1") and not writes.import_bundle(rows.limit(1), path, "d1") and writes.import_bundle(rows.limit(1), path, "d2")
+    assert spark.read.parquet(path).count() == 4
+    keys = [r["k"] for r in writes.with_key(rows, "k", "x", "y").collect()]
+    assert len(set(keys)) == 3 and keys == [r["k"] for r in writes.with_key(rows, "k", "x", "y").collect()]
+    days = spark.createDataFrame([("2024-01-02", 1), ("2024-01-03", 2), ("2024-01-05", 3)], "d string, v int").select(F.to_date("d").alias("market_date"), "v")
+    writes.write_days(days, str(tmp_path / "history"), "market_date")
+    assert sorted(r["v"] for r in files.intraday_history(spark, str(tmp_path / "history"), "2024-01-03", "2024-01-04").collect()) == [2]
+    themes = spark.createDataFrame([("t1", "Chips ")], "theme_id string, name string")
+    companies = spark.createDataFrame([("1", "One"), ("2", "")], "code string, name string")
+    types = spark.createDataFrame([("x", "The X")], "type string, title string")
+    assert {tuple(r) for r in files.question_catalog(spark, themes, companies, types).collect()} == {("theme", "t1", "Chips"), ("company", "1", "One"), ("type", "x", "The X")}

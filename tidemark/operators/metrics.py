@@ -26,12 +26,13 @@ def capped_weights(members: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def theme_metrics(members: DataFrame, returns: DataFrame) -> DataFrame:
-    """Per theme: weighted and median return, breadth, coverage. Stocks without a return stay out, with nothing put in their place."""
+    """Per theme: weighted and median return, breadth, coverage. Stocks without a return stay out, with nothing put in their place; a core member without a cap leaves the
+    core ratio unknown."""
     m = members.join(returns, "stock_id", "left")
     valid = capped_weights(m.where("ret is not null")).groupBy("theme_id").agg(F.sum(F.col("weight") * F.col("ret")).alias("weighted_return"), F.median("ret").alias("median_return"), F.count_if(F.col("ret") > 0).alias("advancing"), F.count("*").alias("valid"))
     core = F.col("role") == "CORE"
     seen = F.col("ret").isNotNull()
-    cover = m.groupBy("theme_id").agg(F.count("*").alias("total"), F.count_if(core).alias("core"), (F.try_divide(F.sum(F.when(core & seen, F.col("cap")).otherwise(0.0)), F.sum(F.when(core, F.col("cap"))))).alias("core_ratio"), (F.count_if(seen) / F.count("*")).alias("total_ratio"), F.count_if(core & seen).alias("core_seen"))
+    cover = m.groupBy("theme_id").agg(F.count("*").alias("total"), F.count_if(core).alias("core"), F.when(F.count_if(core & F.col("cap").isNull()) == 0, F.try_divide(F.sum(F.when(core & seen, F.col("cap")).otherwise(0.0)), F.sum(F.when(core, F.col("cap"))))).alias("core_ratio"), (F.count_if(seen) / F.count("*")).alias("total_ratio"), F.count_if(core & seen).alias("core_seen"))
     status = F.when(F.col("core_ratio").isNull() | (F.col("core_seen") < MIN_CORE) | (F.col("valid") < MIN_TOTAL), "INSUFFICIENT").when((F.col("core_ratio") >= CORE_WEIGHT) & (F.col("total_ratio") >= TOTAL_COUNT), "SUFFICIENT").otherwise("PARTIAL")
     out = cover.join(valid, "theme_id", "left").withColumn("valid", F.coalesce("valid", F.lit(0))).withColumn("breadth", F.try_divide(F.col("advancing"), F.col("valid")))
     return out.withColumn("status", status)

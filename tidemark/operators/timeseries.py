@@ -57,7 +57,8 @@ def adjusted_closes(events: DataFrame) -> DataFrame:
 
 def basket_returns(members: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """theme_id, day, basket_return: mean over members with a close on the day and on the market's day before."""
-    now = prices.select("stock_id", "day", "close").join(calendar, "day")
-    before = prices.select("stock_id", F.col("day").alias("previous_day"), F.col("close").alias("before"))
-    r = now.join(before, ["stock_id", "previous_day"]).select("stock_id", "day", (F.try_divide("close", "before") * 100 - 100).alias("ret"))
+    w = Window.partitionBy("stock_id").orderBy("day")
+    p = prices.select("stock_id", "day", "close", F.lag("close").over(w).alias("before"), F.lag("day").over(w).alias("before_day"))
+    # a stock's row before counts only if it is of the market's day before
+    r = p.join(calendar.select("day", "previous_day"), "day").where("before_day = previous_day").select("stock_id", "day", (F.try_divide("close", "before") * 100 - 100).alias("ret"))
     return members.select("theme_id", "stock_id").join(r, "stock_id").groupBy("theme_id", "day").agg(F.avg("ret").alias("basket_return"), F.count("ret").alias("n"))

@@ -40,3 +40,21 @@ def load_labels(held: DataFrame, incoming: DataFrame, key: str, output: str) ->
 def write_days(rows: DataFrame, path: str, *by: str) -> None:
     """Replace the partitions that rows hold, and no others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def import_bundle(rows: DataFrame, path: str, digest: str) -> bool:
+    """Write rows under their input's digest, once: a bundle that was written whole before is left alone (False). Readers take all bundles of
+    path; a bundle that broke off has no mark of success and is written anew."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bundle={digest}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):
+        return False
+    rows.write.mode("overwrite").parquet(f"{path}/bundle={digest}")
+    return True
+
+
+def with_key(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A surrogate key from the natural one, the same on every run: nulls differ from empty strings, and no two lists of values read alike."""
+    coded = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return rows.withColumn(name, F.sha2(F.concat_ws("|", *coded), 256))

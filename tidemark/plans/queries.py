@@ -174,9 +174,10 @@ def adjusted_close(spark, d):
     return h.groupBy("stock_id").agg(F.count("*").alias("days"), F.count_if(~F.col("cut")).alias("adjusted_days"), F.round(F.avg(F.when(~F.col("cut"), F.log(F.col("close") * F.col("scale")))), 4).alias("mean_log"))
 
 
-@query(f"WITH {_DAILY}, r AS (SELECT unnest(generate_series((SELECT min(day) FROM daily), (SELECT max(day) FROM daily), INTERVAL 1 DAY))::DATE AS day) SELECT day FROM r WHERE isodow(day) < 6 AND day NOT IN (SELECT DISTINCT day FROM daily)")
+@query("WITH t AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_totalprice > 450000), r AS (SELECT unnest(generate_series((SELECT min(day) FROM t), (SELECT max(day) FROM t), INTERVAL 1 DAY))::DATE AS day) SELECT day FROM r WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM t)")
 def weekday_gaps(spark, d):
-    days = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    """Weekdays without a large order, between the first and the last one."""
+    days = table(spark, d, "orders").where("o_totalprice > 450000").select(F.to_date("o_orderdate").alias("day")).distinct()
     every = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return every.where(F.weekday("day") < 5).join(days, "day", "left_anti")
 
@@ -194,10 +195,11 @@ def hot_state_fold(spark, d):
 @query("WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events) SELECT user_id, CASE WHEN now - last <= INTERVAL 6 HOUR THEN 'FRESH' WHEN now - last <= INTERVAL 12 HOUR THEN 'LOW_CONFIDENCE' ELSE 'STALE' END AS status FROM l, n")
 def freshness_coverage(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    age = F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))
+    now = e.agg(F.max("ts").alias("now"))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
     hour = 3_600_000_000
-    return e.groupBy("user_id").agg(age.alias("age")).select("user_id", F.when(F.col("age") <= 6 * hour, "FRESH").when(F.col("age") <= 12 * hour, "LOW_CONFIDENCE").otherwise("STALE").alias("status"))
+    # one row joins
+    return e.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(now)).withColumn("age", age).select("user_id", F.when(F.col("age") <= 6 * hour, "FRESH").when(F.col("age") <= 12 * hour, "LOW_CONFIDENCE").otherwise("STALE").alias("status"))
 
 
 @query("SELECT user_id, min(value) AS priority, max(ts) AS observed, count(*) AS signals, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS themes FROM events GROUP BY 1")
@@ -297,11 +299,11 @@ def current_artifact(spark, d):
     return o.join(F.broadcast(version), F.to_date("o_orderdate") == F.col("version")).groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
 
 
-_A, _B = "SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 20", "SELECT user_id FROM events WHERE event_type = 'error' AND value > 20"
+_A, _B = "SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80", "SELECT user_id FROM events WHERE event_type = 'error' AND value > 80"
 
 
 def _two(spark, d):
-    e = table(spark, d, "events").where("value > 20")
+    e = table(spark, d, "events").where("value > 80")
     return e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'error'").select("user_id")
 
 

@@ -232,3 +232,13 @@ def adjusted_closes(spark, d):
     events = events.withColumn("broken", F.when(first, False).otherwise(F.col("broken")))
     a = timeseries.adjusted_closes(events)
     return a.groupBy("stock_id").agg(F.count("*").alias("n"), F.count("adjusted").alias("adjusted"), F.round(F.ln(F.max("adjusted")), 4).alias("most"))
+
+
+@query("WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS total, nth_value(o_orderkey, 3) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM orders WHERE o_totalprice < 400000 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC)) SELECT o_custkey, o_orderkey, place, total > 3 AS has_more, CASE WHEN total > 3 THEN third END AS next_cursor FROM p WHERE place <= 3")
+def first_pages(spark, d):
+    """The first page of each customer's list, whether there is more, and the key that the next page goes on from."""
+    every = Window.partitionBy("o_custkey")
+    w = every.orderBy(F.col("o_totalprice").desc(), F.col("o_orderkey").desc())
+    o = table(spark, d, "orders").where("o_totalprice < 400000").withColumn("place", F.row_number().over(w).cast("long")).withColumn("total", F.count("*").over(every)).where("place <= 3")
+    more = F.col("total") > 3
+    return o.withColumn("next_cursor", F.max(F.when(more & (F.col("place") == 3), F.col("o_orderkey"))).over(every)).select("o_custkey", "o_orderkey", "place", more.alias("has_more"), "next_cursor")

@@ -46,7 +46,8 @@ def q_stock_top_moves(spark, d):
 @query("WITH s AS (SELECT min(l_suppkey) AS subject FROM lineitem), own AS (SELECT DISTINCT l_orderkey FROM lineitem, s WHERE l_suppkey = subject) SELECT l_suppkey AS company, count(DISTINCT l_orderkey) AS n FROM lineitem, s WHERE l_suppkey <> subject AND l_orderkey IN (FROM own) GROUP BY 1")
 def q_stock_cooccurrence(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("company"))
-    return research.cooccurrence(l, "l_orderkey", "company", F.lit(l.agg(F.min("company")).first()[0]))
+    subject = l.agg(F.min("company").alias("subject"))
+    return research.cooccurrence(l.crossJoin(F.broadcast(subject)), "l_orderkey", "company", F.col("subject"))
 
 
 @query(f"WITH {_BASKET}, k AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY ret) AS i, count(*) OVER (PARTITION BY theme_id) AS n FROM b) SELECT theme_id, max(n) AS days, round(sum(ret), 4) AS total, round(max(CASE WHEN i = n // 2 + 1 THEN ret END), 6) AS upper_median, arg_max(day, (ret, day)) AS best_day, arg_min(day, (ret, day)) AS worst_day FROM k GROUP BY 1")

@@ -129,3 +129,19 @@ def tick_quality(spark, d):
     torn = F.sha2("props", 256) != F.sha2(F.concat(F.lit('{"k": '), F.regexp_extract("props", "([0-9]+)", 1), F.lit("}")), 256)
     q = lambda p: F.expr(f"percentile_disc({p}) within group (order by gap)")
     return e.withColumn("gap", F.when(F.col("before").isNotNull(), gap)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("before")).alias("regressions"), F.count_if("hole").alias("holes"), F.count_if(torn).alias("torn"), F.max("gap").alias("max_gap"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+
+
+@query(
+    "WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) AS last, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY 1), s AS (SELECT p_brand AS theme_id, CASE WHEN last IS NULL THEN 'MISSING' WHEN v IS NULL OR v < 5 THEN 'INCOMPLETE' WHEN now - last <= INTERVAL 6 HOUR THEN 'FRESH' WHEN now - last <= INTERVAL 12 HOUR THEN 'LOW_CONFIDENCE' ELSE 'STALE' END AS status FROM part LEFT JOIN l ON user_id = p_partkey, n) "
+    "SELECT theme_id, count(*) AS requested, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in ("MISSING", "INCOMPLETE", "FRESH", "LOW_CONFIDENCE", "STALE")) + " FROM s GROUP BY 1"
+)
+def freshness_states(spark, d):
+    """What is requested against what came: the five states add up to the stocks requested."""
+    e = table(spark, d, "events")
+    last = e.groupBy(F.col("user_id").alias("p_partkey")).agg(F.max("ts").alias("last"), F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    now = e.agg(F.max("ts").alias("now"))
+    age = F.col("now") - F.col("last")
+    hours = lambda n: F.expr(f"INTERVAL {n} HOUR")
+    status = F.when(F.col("last").isNull(), "MISSING").when(F.col("v").isNull() | (F.col("v") < 5), "INCOMPLETE").when(age <= hours(6), "FRESH").when(age <= hours(12), "LOW_CONFIDENCE").otherwise("STALE")
+    s = table(spark, d, "part").join(last, "p_partkey", "left").crossJoin(F.broadcast(now)).select(F.col("p_brand").alias("theme_id"), status.alias("status"))
+    return s.groupBy("theme_id").agg(F.count("*").alias("requested"), *[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("MISSING", "INCOMPLETE", "FRESH", "LOW_CONFIDENCE", "STALE")])

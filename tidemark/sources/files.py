@@ -87,3 +87,71 @@ def minute_bars(ticks: DataFrame, path: str) -> None:
 def tick_sink(stream: DataFrame, path: str, checkpoint: str):
     """Append a stream of ticks by day and type; started, to be awaited by the caller."""
     return stream.withColumn("day", F.to_date("occurred_at")).writeStream.format("parquet").partitionBy("day", "event_type").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+POSTS = "posts array<struct<post_id:string,title:string,published_at:timestamp,visible:boolean,relations:array<struct<kind:string,theme:string,code:string,rate:double>>>>"
+
+
+def daily_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations of dumped daily posts, in source order: post_id, title, published_at, visible, place, kind, theme, code, rate. A post without relations has one row without."""
+    p = spark.read.schema(POSTS).option("multiLine", "true").json(folder).select(F.explode("posts").alias("p")).select("p.*")
+    return p.select("post_id", "title", "published_at", "visible", F.posexplode_outer("relations").alias("place", "r")).select("post_id", "title", "published_at", "visible", "place", "r.*")
+
+
+SHARES = "code string, day string, rows array<struct<kind:string,holder:string,count:string>>"
+
+
+def share_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Filed share counts: code, day, holder, category (ISSUED, CONTROLLING_HOLDER, TREASURY or OTHER, by the words of the row), shares."""
+    r = spark.read.schema(SHARES).option("multiLine", "true").json(folder).select("code", F.try_to_date("day", "yyyy-MM-dd").alias("day"), F.explode("rows").alias("r")).select("code", "day", "r.*")
+    kind = F.lower("kind")
+    category = F.when(F.contains(kind, F.lit("issued")), "ISSUED").when(F.contains(kind, F.lit("treasury")), "TREASURY").when(F.contains(kind, F.lit("largest")), "CONTROLLING_HOLDER").otherwise("OTHER")
+    return r.select("code", "day", "holder", category.alias("category"), _number("count").cast("long").alias("shares"))
+
+
+def company_index(spark: SparkSession, folder: str) -> DataFrame:
+    """corp, name, code of the companies in zipped XML indexes (<list><corp_code/><corp_name/><stock_code/></list>). Archives are dealt out by file."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+        import re
+        import zipfile
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for raw in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for member in z.namelist():
+                        for entry in re.findall(r"<list>(.*?)</list>", z.read(member).decode(), re.S):
+                            for column, tag in zip(out, ("corp_code", "corp_name", "stock_code"), strict=True):
+                                found = re.search(rf"<{tag}>\s*(.*?)\s*</{tag}>", entry, re.S)
+                                column.append(found[1] if found and found[1] else None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["corp", "name", "code"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("content").mapInArrow(run, "corp string, name string, code string")
+
+
+def intraday_history(spark: SparkSession, path: str, since: str, until: str) -> DataFrame:
+    """Written days of an intraday history from since to until; other days' files are not read."""
+    return spark.read.parquet(path).where(F.col("market_date").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+
+
+def theme_universe(spark: SparkSession, folder: str, effective_from: str, known_at: str) -> DataFrame:
+    """Membership snapshots of a theme collection, as operators.reference.membership takes them."""
+    t = theme_collection(spark, folder)
+    return t.select("theme_id", F.col("code").alias("stock_id"), F.lit(effective_from).cast("date").alias("effective_from"), F.lit(known_at).cast("date").alias("known_at"), F.lit(1).alias("version")).distinct()
+
+
+def collected_references(envelopes: DataFrame, shares: DataFrame) -> DataFrame:
+    """Facts of both sources in one shape: stock_id, effective_on, source, kind, value."""
+    prices = envelopes.where("status = 'OK'").select(F.col("code").alias("stock_id"), F.col("day").alias("effective_on"), F.lit("EXCHANGE").alias("source"), F.explode(F.create_map(F.lit("CLOSE"), F.col("close"), F.lit("LISTED"), F.col("shares"))).alias("kind", "value"))
+    filed = shares.select(F.col("code").alias("stock_id"), F.col("day").alias("effective_on"), F.lit("FILING").alias("source"), F.col("category").alias("kind"), F.col("shares").cast("decimal(24,3)").alias("value"))
+    return prices.unionByName(filed).where("value is not null")
+
+
+def question_catalog(spark: SparkSession, themes: DataFrame, companies: DataFrame, types: DataFrame) -> DataFrame:
+    """Names that questions may hold: dimension, id, name; of a name that several ids have each is listed."""
+    named = lambda df, dimension, i, n: df.select(F.lit(dimension).alias("dimension"), F.col(i).cast("string").alias("id"), F.trim(F.col(n)).alias("name"))
+    every = named(themes, "theme", "theme_id", "name").unionByName(named(companies, "company", "code", "name")).unionByName(named(types, "type", "type", "title"))
+    return every.where("name <> ''").distinct()
