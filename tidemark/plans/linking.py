@@ -36,7 +36,7 @@ def news_search(spark, d):
 
 
 _NEWS = """news AS (SELECT event_id AS news_id, CASE WHEN event_id % 3 = 0 THEN [user_id % 7] ELSE [] END AS theme_ids, [user_id, (user_id + event_id) % 150] AS stocks, [event_type] AS own, ts AS published FROM events WHERE event_type <> 'error'),
-ctx AS (SELECT user_id % 7 AS theme_id, list_distinct(list(user_id) FILTER (user_id % 10 = 0)) AS leaders, list_distinct(list(user_id) FILTER (user_id % 10 IN (1, 2))) AS related, list_distinct(list(event_type) FILTER (user_id % 5 = 0 AND event_type <> 'view')) AS entities, max(ts) - INTERVAL 240 HOUR AS since, max(ts) - INTERVAL 48 HOUR AS decision FROM events GROUP BY 1),
+ctx AS (SELECT user_id % 7 AS theme_id, coalesce(list_distinct(list(user_id) FILTER (user_id % 10 = 0)), []) AS leaders, coalesce(list_distinct(list(user_id) FILTER (user_id % 10 IN (1, 2))), []) AS related, coalesce(list_distinct(list(event_type) FILTER (user_id % 5 = 0 AND event_type <> 'view')), []) AS entities, max(ts) - INTERVAL 240 HOUR AS since, max(ts) - INTERVAL 48 HOUR AS decision FROM events GROUP BY 1),
 p AS (SELECT news_id, unnest(theme_ids) AS theme_id FROM news UNION SELECT news_id, theme_id FROM (SELECT news_id, unnest(stocks) AS stock FROM news) JOIN (SELECT theme_id, unnest(list_distinct(list_concat(leaders, related))) AS stock FROM ctx) USING (stock)),
 rel AS (SELECT news_id, theme_id, published, decision, list_has_any(stocks, leaders) AS lead, list_has_any(stocks, related) AS rel, published BETWEEN since AND decision AS timely, round(least(CASE WHEN list_contains(theme_ids, theme_id) THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN list_has_any(stocks, leaders) THEN 0.30::DOUBLE WHEN list_has_any(stocks, related) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN published BETWEEN since AND decision THEN 0.20::DOUBLE ELSE 0 END
   + CASE WHEN len(list_distinct(list_intersect(stocks, list_concat(leaders, related)))) >= 2 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN list_has_any(own, entities) THEN 0.05::DOUBLE ELSE 0 END, 1.0), 6) AS score FROM p JOIN news USING (news_id) JOIN ctx USING (theme_id)),
