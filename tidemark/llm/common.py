@@ -46,14 +46,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def least_hashes(df: DataFrame, n: int, *by: str, total: int | None = None) -> DataFrame:
-    """The n rows of least hash of the named columns (all, if none is named): a sample that no order of rows or tasks changes.
+    """The n different rows of least hash of the named columns (all, if none is named): a sample that no order of rows or tasks changes,
+    and that a row of many copies doesn't fill.
 
     A threshold from the number of rows goes before the sort, so that tasks send some 4 n rows in all, not n each.
     """
     h = F.xxhash64(*(by or df.columns))
     total = df.count() if total is None else total
     some = df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * 4.0 * n / total)) if total > 4 * n else df
-    return some.orderBy(F.pmod(h, F.lit(1 << 31)), h, *df.columns).limit(n)
+    return some.distinct().orderBy(F.pmod(h, F.lit(1 << 31)), h, *df.columns).limit(n)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
