@@ -50,6 +50,8 @@ def test_tick_lines_batch_and_stream(spark, tmp_path):
 def test_collections_labels_and_sinks(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"theme_id": "t1", "name": "T", "observed_at": "2024-01-02T00:00:00", "items": [{"code": "b", "name": "B", "reason": "x", "rank": 1}, {"code": "a", "name": "A", "reason": None, "rank": 2}], "quality_status": "OK"}) + "\n" + json.dumps({"theme_id": "t2", "items": [{"code": "c"}], "quality_status": "REVIEW"}) + "\n")
     assert [(r["theme_id"], r["code"], r["place"]) for r in files.theme_collection(spark, str(tmp_path / "t.json")).orderBy("place").collect()] == [("t1", "b", 0), ("t1", "a", 1)]
+    universe = files.theme_universe(spark, str(tmp_path / "t.json"), "2024-01-02", "2024-01-03")
+    assert {(r["stock_id"], str(r["effective_from"]), str(r["known_at"]), r["version"]) for r in universe.collect()} == {("a", "2024-01-02", "2024-01-03", 1), ("b", "2024-01-02", "2024-01-03", 1)}
     (tmp_path / "l.jsonl").write_text('{"event_id": "e", "theme": "t", "types": ["x", "y"]}\n')
     (tmp_path / "n.tsv").write_text("type\ttitle\nx\tThe X\n")
     assert {(r["type"], r["title"]) for r in files.labels_with_names(spark, str(tmp_path / "l.jsonl"), str(tmp_path / "n.tsv")).collect()} == {("x", "The X"), ("y", None)}
