@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.writes import write_days
 
+# The field names of the daily envelope format.
 _ROW = "BAS_DD string, ISU_CD string, ISU_NM string, MKT_NM string, TDD_CLSPRC string, CMPPREVDD_PRC string, TDD_OPNPRC string, TDD_HGPRC string, TDD_LWPRC string, ACC_TRDVOL string, ACC_TRDVAL string, LIST_SHRS string"
 ENVELOPE = f"OutBlock_1 array<struct<{', '.join(c.replace(' ', ':', 1) for c in _ROW.split(', '))}>>"
 

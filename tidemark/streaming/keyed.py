@@ -6,8 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ACTIVATE_S, WEAKEN_S, RECOVER_S, CLOSE_S = 10.0, 60.0, 600.0, 600.0
 
@@ -15,20 +18,21 @@ ACTIVATE_S, WEAKEN_S, RECOVER_S, CLOSE_S = 10.0, 60.0, 600.0, 600.0
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, tuple], tuple], inputs: list[str], schema: str) -> DataFrame:
     """For each row of each key, in order: the columns keys and order, then what step(state, inputs) returns."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), {}
-        for pdf in frames:
+        for batch in batches:
             out = []
-            whole = pdf.astype(object).where(pdf.notna(), None)
-            for head, place, row in zip(zip(*(whole[k] for k in keys), strict=True), zip(*(whole[o] for o in order), strict=True), zip(*(whole[c] for c in inputs), strict=True), strict=True):
+            rows = lambda names: zip(*(batch.column(n).to_pylist() for n in names), strict=True)  # noqa: E731, B023
+            for head, place, row in zip(rows(keys), rows(order), rows(inputs), strict=True):
                 if head != current:
                     current, state = head, start()
                 out.append((*head, *place, *step(state, row)))
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    shape = to_arrow_schema(StructType.fromDDL(schema))
     chosen = df.select(*dict.fromkeys([*keys, *order, *inputs]))
-    return chosen.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return chosen.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def hysteresis_start() -> dict:
