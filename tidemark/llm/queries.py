@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curves, mixing, packing, pages, pii, quality, repeats, sketches, voronoi
+from . import chat, curves, mixing, packing, pages, periodic, pii, quality, repeats, sketches, toxicity, voronoi, whitening
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.looped(table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +73,9 @@ QUERIES = {
         op8_quality,
         op9_personal_data,
         op10_substring_dedup,
+        op11_periodic_runs,
+        op12_whitening,
+        op13_toxicity,
     )
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op3_exact_search": voronoi.ORACLE, "op4_chat_formatting": chat.ORACLE}
