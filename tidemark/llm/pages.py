@@ -10,7 +10,8 @@ size; a maximum flow finds the cheapest labelling.
 from __future__ import annotations
 
 import math
-from collections import Counter, deque
+import re
+from collections import Counter, defaultdict, deque
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,6 +24,11 @@ from .common import Batches, columns, least_hashes, rows_out
 # Element names and the words that class, id and role attributes use for parts of a page.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SKIP = frozenset("script style noscript template textarea select button iframe object svg canvas head audio video datalist option title".split())
+#: What may stand in a head (anything else ends it), what is read as raw text, and places inside svg where HTML may stand.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_RAW = frozenset("iframe noscript script style template textarea title".split())
+_FOREIGN = frozenset("desc foreignobject title".split())
+_PAIRED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1|<(/?)(audio|button|canvas|datalist|iframe|noscript|object|option|select|svg|template|textarea|title|video)\b[^>]*?(/?)>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _OUTSIDE = frozenset("nav aside form footer menu dialog fieldset".split())
 _CONTENT = frozenset("article main".split())
@@ -91,11 +97,36 @@ class _Element:
         self.bad = bool(clear)
 
 
+def _unclosed(html: str) -> set[tuple[str, int]]:
+    """(name, number among the start tags of that name) of elements whose text is skipped and that no end tag closes."""
+    count: Counter = Counter()
+    waiting: dict[str, list[int]] = defaultdict(list)
+    for m in _PAIRED.finditer(html):
+        if m[3]:
+            tag = m[3].lower()
+            if m[2]:
+                if waiting[tag]:
+                    waiting[tag].pop()
+            else:
+                count[tag] += 1
+                if not m[4]:
+                    waiting[tag].append(count[tag])
+    return {(tag, k) for tag, open_ones in waiting.items() for k in open_ones}
+
+
 class _Reader(HTMLParser):
-    """Blocks in page order: (text, link characters, element)."""
+    """Blocks in page order: (text, link characters, element).
+
+    Head and body tags may be missing: what can't stand in a head ends it. An element whose text is skipped ends at its end tag, or with
+    the element around it; svg at a block; one without an end tag at the next block.
+    """
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.unclosed = _unclosed(html)
+        self.seen: Counter = Counter()
+        self.loose: list[bool] = []  # of each skipped element that is open: no end tag closes it
+        self.inner: Counter = Counter()  # other elements opened inside the skipped ones
         self.elements = [_Element("html", None, 0)]
         self.stack = self.elements[:]
         self.open: Counter = Counter()
@@ -127,17 +158,37 @@ class _Reader(HTMLParser):
             if self.stack[i].tag in stop:
                 return
 
+    def _leave(self, depth: int) -> None:
+        """Skipped elements from the depth-th on end."""
+        del self.skip[depth:], self.loose[depth:]
+        if not self.skip:
+            self.inner.clear()
+
+    def _skips(self, tag: str) -> None:
+        self.skip.append(tag)
+        self.loose.append((tag, self.seen[tag]) in self.unclosed)
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag == "body" and self.skip[0] == "head":
-                self.skip.clear()
-            elif tag in _SKIP and tag not in _VOID:
-                self.skip.append(tag)
-                return
+        self.seen[tag] += 1
+        while self.skip:
+            top = self.skip[-1]
+            if top == "head":
+                ends = tag not in _HEAD
+            elif top == "svg":
+                ends = tag in _BLOCK and not any(self.inner[t] for t in _FOREIGN)
             else:
-                return
+                ends = self.loose[-1] and tag in _BLOCK
+            if not ends:
+                break
+            self._leave(len(self.skip) - 1)
+        if self.skip:
+            if tag in _SKIP and not (self.skip[-1] == "svg" and tag == "title"):
+                self._skips(tag)
+            elif tag not in _VOID:
+                self.inner[tag] += 1
+            return
         if tag in _SKIP:
-            self.skip.append(tag)
+            self._skips(tag)
             self.parts.append(" ")
             return
         if tag in _BLOCK:
@@ -160,9 +211,14 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if self.skip:
             if tag in self.skip:
-                while self.skip.pop() != tag:
-                    pass
-            return
+                self._leave(len(self.skip) - 1 - self.skip[::-1].index(tag))
+                return
+            if self.inner[tag]:
+                self.inner[tag] -= 1
+                return
+            if not (self.open[tag] or tag in ("body", "html")) or self.skip[-1] in _RAW and not self.loose[-1]:
+                return
+            self._leave(0)
         if tag in _BLOCK:
             self.flush()
             self._close(tag)
@@ -170,6 +226,8 @@ class _Reader(HTMLParser):
             self.in_link = False
 
     def handle_data(self, data):
+        if self.skip == ["head"] and not data.isspace():
+            self._leave(0)
         if not self.skip:
             self.parts.append(data)
             if self.in_link:
@@ -178,7 +236,7 @@ class _Reader(HTMLParser):
 
 def read(html: str) -> list[tuple[str, int, _Element]]:
     """The blocks of a page; their elements know what is around them. One pass down and one up the tree, whatever its depth."""
-    reader = _Reader()
+    reader = _Reader(html)
     reader.feed(html)
     reader.close()
     reader.flush()
