@@ -127,15 +127,13 @@ def _edges_of(size: int, buckets: int):
             length = np.diff(head, append=len(at))
         bucket = (least[head] % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        ids, blobs = [], []
-        for b in range(buckets):
-            r = by[bounds[b] : bounds[b + 1]]
-            if len(r):
-                m = length[r]
-                w = np.repeat(head[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                ids.append(b)
-                blobs.append(_packed([least[head[r]], doc[head[r]], start[head[r]], m.astype(np.uint8), check[w]]))
+        # the buckets that this chunk has runs for: work and rows grow with the chunk, not with the number of buckets
+        ids, bounds = np.unique(bucket[by], return_index=True)
+        ids, blobs = ids.tolist(), []
+        for r in np.split(by, bounds[1:]) if ids else ():
+            m = length[r]
+            w = np.repeat(head[r] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            blobs.append(_packed([least[head[r]], doc[head[r]], start[head[r]], m.astype(np.uint8), check[w]]))
         if len(spans[0]):
             ids.append(-1)
             blobs.append(_zip([np.array([len(spans[0])], np.uint32).tobytes(), *(a.tobytes() for a in spans)]))
