@@ -611,3 +611,39 @@ def test_curves_recall_of_the_registered_query_on_the_largest_table(spark):
         hit += len(best & got[int(ids[q])])
         total += len(best)
     assert hit >= 0.9 * total
+
+
+PAGES_WITH_TAGS_LEFT_OUT = (
+    ("<!doctype html><html><head><title>T</title><article><p>One.</p><p>Two.</p></article>", ["One.", "Two."]),
+    ("<html><head><meta charset=x>Hello there<p>Two", ["Hello there", "Two"]),
+    ("<head><script>x</script><noscript><iframe src=y></iframe></noscript></head><p>One", ["One"]),
+    ("<article><p>One</p><svg><path d=1><p>Two</p></article><p>Three", ["One", "Two", "Three"]),
+    ("<article><p>One</p><button>Share<p>Two</p></article><p>Three", ["One", "Two", "Three"]),
+    ("<article><p>One <button>Share</p><p>Two</p></article>", ["One", "Two"]),
+    ("<article><p>One<svg><title>icon</title><foreignObject><div>in</div></foreignObject></svg> more</p></article>", ["One more"]),
+    ("<article><button><div>Share</div></button><p>Two</p></article>", ["Two"]),
+    ("<p>a<select><option>x<option>y</select>b</p>", ["a b"]),
+    ("<div><iframe></div>x</iframe>y</div>", ["y"]),
+    ("<svg/><p>ok<svg></svg>k</p>", ["ok k"]),
+    ("<!-- <button> --><p>One <button>go</button> two</p>", ["One two"]),
+)
+
+
+@pytest.mark.parametrize("html, want", PAGES_WITH_TAGS_LEFT_OUT)
+def test_pages_lose_no_text_where_tags_are_left_out(html, want):
+    assert [b[0] for b in pages.read(html)] == want
+
+
+def test_repeats_chunk_costs_the_same_whatever_the_number_of_buckets():
+    import time
+
+    import pyarrow as pa
+
+    text = " ".join(words(40_000, 77)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    rows, took = {}, {}
+    for buckets in (100_000, 100_000_000):
+        began = time.process_time()
+        rows[buckets] = sum(b.num_rows for b in repeats._edges_of(20, buckets)(iter([batch])))
+        took[buckets] = time.process_time() - began
+    assert rows[100_000_000] <= 40_000 and took[100_000_000] < 3 * took[100_000] + 1
