@@ -11,18 +11,19 @@ MULTIPLE, STOCK_MULTIPLE, SPREAD, HIGH, RETURN, VALID = 2.0, 2.0, 0.30, 2, 0.01,
 
 def stock_return(rows: DataFrame, at: Column, decision: Column) -> DataFrame:
     """rows: one a member, with reference (ref_*) and observation (obs_*) columns, null where there is none. Adds ret, flag and reason: the first guard
-    that holds names them, and only without any there is a return."""
+    that holds names them, and only without any there is a return. What isn't known refuses: a null flag or day is no licence."""
     r = F.col
+    not_said, unless_said = (lambda c: ~F.coalesce(c, F.lit(False))), (lambda c: F.coalesce(c, F.lit(True)))
     guards = (
         (r("ref_known").isNull(), "REFERENCE_PRICE_UNAVAILABLE", "MISSING_REFERENCE_DATA"),
-        (~r("ref_resolved"), "CORPORATE_ACTION_UNRESOLVED", "CORPORATE_ACTION_UNRESOLVED"),
-        ((r("ref_for") != at) | (r("ref_known") > decision), "POINT_IN_TIME_VIOLATION", "MISSING_REFERENCE_DATA"),
+        (not_said(r("ref_resolved")), "CORPORATE_ACTION_UNRESOLVED", "CORPORATE_ACTION_UNRESOLVED"),
+        (unless_said((r("ref_for") != at) | (r("ref_known") > decision)), "POINT_IN_TIME_VIOLATION", "MISSING_REFERENCE_DATA"),
         (r("ref_close").isNull() | (r("ref_close") <= 0), "REFERENCE_PRICE_UNAVAILABLE", "MISSING_REFERENCE_DATA"),
         (r("obs_at").isNull(), "MARKET_PRICE_UNAVAILABLE", "MISSING_MARKET_DATA"),
-        ((r("obs_day") != at) | (r("obs_at") > decision), "POINT_IN_TIME_VIOLATION", "MISSING_MARKET_DATA"),
-        (r("obs_halted"), "TRADING_HALTED", "TRADING_HALTED"),
-        (r("obs_unresolved"), "CORPORATE_ACTION_UNRESOLVED", "CORPORATE_ACTION_UNRESOLVED"),
-        (~r("obs_fresh"), "STALE_MARKET_DATA", "MISSING_MARKET_DATA"),
+        (unless_said((r("obs_day") != at) | (r("obs_at") > decision)), "POINT_IN_TIME_VIOLATION", "MISSING_MARKET_DATA"),
+        (unless_said(r("obs_halted")), "TRADING_HALTED", "TRADING_HALTED"),
+        (unless_said(r("obs_unresolved")), "CORPORATE_ACTION_UNRESOLVED", "CORPORATE_ACTION_UNRESOLVED"),
+        (not_said(r("obs_fresh")), "STALE_MARKET_DATA", "MISSING_MARKET_DATA"),
         (r("obs_price").isNull() | (r("obs_price") <= 0), "MARKET_PRICE_UNAVAILABLE", "MISSING_MARKET_DATA"),
     )
     flag, reason = F, F
@@ -40,6 +41,20 @@ def with_residual(weights: DataFrame, limit: Column, places: int = 6) -> DataFra
     return w.withColumn("weight", F.when(F.col("stock_id") == first, F.round(F.col("weight") + F.col("residual"), places)).otherwise(F.col("weight")))
 
 
+def known_members(members: DataFrame, slots: DataFrame) -> DataFrame:
+    """members: theme_id, since. slots: bucket, day_number, each once. How many members each theme has in each slot from its first `since` on.
+
+    Counts by (theme, since) are summed up over since; each sum holds from its day to the next one's, so the days meet the slots by equality."""
+    n = members.groupBy("theme_id", "since").agg(F.count("*").alias("n"))
+    upward = Window.partitionBy("theme_id").orderBy("since")
+    n = n.withColumn("total", F.sum("n").over(upward.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("since").over(upward) - 1)
+    reach = slots.agg(F.min("day_number").alias("first"), F.max("day_number").alias("last")).withColumn("one", F.lit(1))
+    n = n.withColumn("one", F.lit(1)).join(F.broadcast(reach), "one")  # one row
+    first, last = F.greatest("since", "first"), F.least(F.coalesce("until", "last"), F.col("last"))
+    days = n.where(first <= last).select("theme_id", "total", F.explode(F.sequence(first, last)).alias("day_number"))
+    return slots.join(days, "day_number").select("theme_id", "bucket", "day_number", "total")
+
+
 def theme_turnover(values: DataFrame, members: DataFrame, lookback: int = LOOKBACK, least: int = LEAST) -> DataFrame:
     """values: stock_id, bucket, day_number, value, usable. members: theme_id, stock_id, since (the first day on which the membership was known).
 
@@ -54,7 +69,7 @@ def theme_turnover(values: DataFrame, members: DataFrame, lookback: int = LOOKBA
     mid = F.when(F.col("n_past") % 2 == 1, F.try_element_at("past", half + 1)).otherwise((F.try_element_at("past", F.greatest(half, F.lit(1))) + F.try_element_at("past", half + 1)) / 2)
     v = v.withColumn("baseline", F.when(F.col("usable") & (F.col("n_past") >= least) & (mid > 0), mid))
     valid = F.col("baseline").isNotNull()
-    total = members.join(values.select("bucket", "day_number").distinct(), F.col("since") <= F.col("day_number")).groupBy("theme_id", "bucket", "day_number").agg(F.count("*").alias("total"))
+    total = known_members(members, values.select("bucket", "day_number").distinct())
     g = v.groupBy("theme_id", "bucket", "day_number").agg(
         F.count_if(valid).alias("valid"), F.sum(F.when(valid, F.col("value"))).alias("now"), F.sum("baseline").alias("usual"), F.min(F.when(valid, F.col("n_past"))).alias("fewest"),
         F.count_if(F.try_divide(F.col("value"), F.col("baseline")) >= STOCK_MULTIPLE).alias("high"),
