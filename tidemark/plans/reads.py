@@ -242,3 +242,15 @@ def first_pages(spark, d):
     o = table(spark, d, "orders").where("o_totalprice < 400000").withColumn("place", F.row_number().over(w).cast("long")).withColumn("total", F.count("*").over(every)).where("place <= 3")
     more = F.col("total") > 3
     return o.withColumn("next_cursor", F.max(F.when(more & (F.col("place") == 3), F.col("o_orderkey"))).over(every)).select("o_custkey", "o_orderkey", "place", more.alias("has_more"), "next_cursor")
+
+
+@query(
+    "WITH d AS (SELECT p_type AS part, p_partkey, p_name, CASE WHEN p_size > 40 THEN NULL ELSE p_brand END AS brand FROM part), h AS (SELECT part, ('0x' || substr(md5(length(p_partkey::VARCHAR) || ':' || p_partkey || '|' || length(p_name) || ':' || p_name || '|' || coalesce(length(brand) || ':' || brand, '-') || '|' || length(part) || ':' || part), 1, 15))::BIGINT AS x FROM d) "
+    "SELECT part, count(*) AS rows, sum(x)::VARCHAR AS digest FROM h GROUP BY 1"
+)
+def partition_digests(spark, d):
+    """What tells two versions of a partition apart, whatever order and files its rows lie in."""
+    from ..operators import versions
+
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.when(~(F.col("p_size") > 40), F.col("p_brand")).alias("brand"), F.col("p_type").alias("part"))
+    return versions.digests(p, F.col("part"))
