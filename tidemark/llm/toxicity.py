@@ -10,7 +10,7 @@ calibrated on predictions for texts that the trees predicting them had not seen.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,9 @@ INSULTS = frozenset(
 ADDRESS = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu toi te ton ta vous votre tú ti usted ustedes vosotros vuestro".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "*": None, ".": None, "-": None, "_": None})
 _INNER = re.compile(r"[^\W_][*@$!|.\-_0-9]+[^\W_]")
+_PUNCTUATION = np.frombuffer(b".,;:!?\"'()-", np.uint8)
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 NAMES = (
     "words", "insult_count", "insult_density", "insult_kinds", "strong_count", "strong_density", "strong_kinds", "weak_count", "weak_density", "weak_kinds", "evidence", "most",
@@ -58,14 +58,35 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEM_SIZES if len(word) > k)]
 
 
-@dataclass
+_INSULT, _STRONG, _WEAK, _ADDRESS, _STRETCH = 1, 2, 4, 8, 16
+_SHOUT, _DIGITS, _MARKS, _HIDDEN = 1, 2, 4, 8
+
+
+class _Memory(dict):
+    """What a function says of a word or token, remembered for a bounded number of them."""
+
+    LIMIT = 300_000
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[key] = self.of(key)
+        return value
+
+
 class Lexicon:
     """Learned stems with the numbers of toxic and clean training texts that hold them, and these numbers over all."""
 
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
-    toxic: int = 0
-    clean: int = 0
-    _memory: dict = field(default_factory=dict, repr=False)
+    def __init__(self, counts: dict[str, tuple[int, int]] | None = None, toxic: int = 0, clean: int = 0):
+        self.counts, self.toxic, self.clean = counts or {}, toxic, clean
+        self._memories: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_memories": {}}
 
     def weight(self, t: int, c: int, own: int | None) -> float:
         """Log odds of t toxic and c clean texts, without the text measured if its own label is given."""
@@ -73,52 +94,46 @@ class Lexicon:
 
     def best(self, word: str, own: int | None = None) -> float:
         """Greatest log odds of the word's stems, 0 without any; the text measured is taken out of the counts if its label is given."""
-        key = (word, own)
-        got = self._memory.get(key)
-        if got is None:
-            if len(self._memory) > 300_000:
-                self._memory.clear()
-            got = self._memory[key] = max([0.0, *(self.weight(*self.counts[s], own) for s in stems(word) if s in self.counts)])
-        return got
+        return max([0.0, *(self.weight(*self.counts[s], own) for s in stems(word) if s in self.counts)])
+
+    def _of_word(self, word: str, own: int | None) -> int:
+        weight = self.best(word, own)
+        return (word in INSULTS) * _INSULT | (weight >= STRONG) * _STRONG | (WEAK <= weight < STRONG) * _WEAK | (word in ADDRESS) * _ADDRESS | (_STRETCHED.search(word) is not None) * _STRETCH
+
+    def _of_token(self, token: str, own: int | None) -> int:
+        what = _SHOUT if len(token) > 2 and token.isupper() else 0
+        if not token.isalpha() and _INNER.search(token):
+            what |= _DIGITS if any(c.isdigit() for c in token) else _MARKS
+            plain = token.lower().strip(".,;:!?\"'()").translate(_PLAIN)
+            what |= _HIDDEN if plain in INSULTS or self.best(plain, own) >= STRONG else 0
+        return what
+
+    def memories(self, own: int | None) -> tuple[_Memory, _Memory]:
+        """What words and tokens are; one of each a label, for a worker's life."""
+        if own not in self._memories:
+            self._memories[own] = _Memory(lambda w: self._of_word(w, own)), _Memory(lambda t: self._of_token(t, own))
+        return self._memories[own]
 
 
 def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list[float]:
-    """D numbers about a text. Counts are logs, densities are logs of parts in a thousand words."""
+    """D numbers about a text. Counts are logs, densities are logs of parts in a thousand words. Capitals are A to Z."""
     text = text or ""
-    low = text.lower()
-    words = _WORD.findall(low)
+    of_word, of_token = lexicon.memories(own)
+    words, tokens = _WORD.findall(text.lower()), text.split()
     n, chars = max(1, len(words)), max(1, len(text))
-    insults, strong, weak, address, hits = [], [], [], [], []
-    for i, w in enumerate(words):
-        if w in ADDRESS:
-            address.append(i)
-        if w in INSULTS:
-            insults.append(w)
-        weight = lexicon.best(w, own)
-        if weight >= WEAK:
-            (strong if weight >= STRONG else weak).append(w)
-        if weight >= STRONG or w in INSULTS:
-            hits.append(i)
-    kinds = set(strong) | set(weak)
-    weights = [lexicon.best(w, own) for w in kinds]
+    what = np.fromiter(map(of_word.__getitem__, words), np.uint8, len(words))
+    bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    met: dict[int, list[str]] = {k: [words[i] for i in np.flatnonzero(what & k)] for k in (_INSULT, _STRONG, _WEAK)}
+    insults, strong, weak = met.values()
+    address, hits = np.flatnonzero(what & _ADDRESS), np.flatnonzero(what & (_INSULT | _STRONG))
     near = 0
-    if address and hits:
-        at = np.array(address)
-        place = np.searchsorted(at, hits)
-        h = np.array(hits)
-        near = int(((np.abs(h - at[np.maximum(place - 1, 0)]) <= NEAR) | (np.abs(at[np.minimum(place, len(at) - 1)] - h) <= NEAR)).sum())
+    if len(address) and len(hits):
+        place = np.searchsorted(address, hits)
+        near = int(((np.abs(hits - address[np.maximum(place - 1, 0)]) <= NEAR) | (np.abs(address[np.minimum(place, len(address) - 1)] - hits) <= NEAR)).sum())
+    kind = np.fromiter(map(of_token.__getitem__, tokens), np.uint8, len(tokens))
+    shouted, inner, marks, hidden = (int(np.count_nonzero(kind & k)) for k in (_SHOUT, _DIGITS, _MARKS, _HIDDEN))
     letters = sum(map(len, words)) or 1
-    shouted = inner = marks = hidden = 0
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if len(token) > 2 and token.isupper():
-            shouted += 1
-        if not token.isalpha() and _INNER.search(token):
-            digits = any(c.isdigit() for c in token)
-            inner += digits
-            marks += not digits
-            plain = token.lower().strip(".,;:!?\"'()").translate(_PLAIN)
-            hidden += plain in INSULTS or lexicon.best(plain, own) >= STRONG
+    weights = [lexicon.best(w, own) for w in {*strong, *weak}]
 
     def per(k: int) -> float:
         return float(np.log1p(1000 * k / n))
@@ -128,12 +143,12 @@ def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list
         float(np.log1p(len(insults))), per(len(insults)), float(len(set(insults))),
         float(np.log1p(len(strong))), per(len(strong)), float(np.log1p(len(set(strong)))),
         float(np.log1p(len(weak))), per(len(weak)), float(np.log1p(len(set(weak)))),
-        float(sum(weights)), float(max(weights, default=0.0)),
+        float(sum(sorted(weights))), max(weights, default=0.0),
         per(len(address)), float(np.log1p(near)), per(near),
-        sum(c.isupper() for c in text) / letters, per(shouted),
-        text.count("!") / chars, text.count("?") / chars, sum(text.count(c) for c in ".,;:!?\"'()-") / chars,
+        float(bytes_[65:91].sum()) / letters, per(shouted),
+        float(bytes_[33]) / chars, float(bytes_[63]) / chars, float(bytes_[_PUNCTUATION].sum()) / chars,
         per(sum(text.count(c) for c in ("!!", "??", "##", "$$", "%%"))),
-        per(inner), per(marks), per(len(_STRETCHED.findall(low))), float(np.log1p(hidden)),
+        per(inner), per(marks), per(int(np.count_nonzero(what & _STRETCH))), float(np.log1p(hidden)),
     ]
 
 
