@@ -48,9 +48,9 @@ def known_members(members: DataFrame, slots: DataFrame) -> DataFrame:
     n = members.groupBy("theme_id", "since").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("theme_id").orderBy("since")
     n = n.withColumn("total", F.sum("n").over(upward.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("since").over(upward) - 1)
-    reach = slots.agg(F.min("day_number").alias("first"), F.max("day_number").alias("last")).withColumn("one", F.lit(1))
-    n = n.withColumn("one", F.lit(1)).join(F.broadcast(reach), "one")  # one row
-    first, last = F.greatest("since", "first"), F.least(F.coalesce("until", "last"), F.col("last"))
+    first = F.greatest("since", slots.agg(F.min("day_number")).scalar())
+    newest = slots.agg(F.max("day_number")).scalar()
+    last = F.least(F.coalesce(F.col("until"), newest), newest)
     days = n.where(first <= last).select("theme_id", "total", F.explode(F.sequence(first, last)).alias("day_number"))
     return slots.join(days, "day_number").select("theme_id", "bucket", "day_number", "total")
 

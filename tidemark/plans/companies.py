@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import events as E
-from ..operators import timeseries
+from ..operators import audits, timeseries
 from ..sources.tables import daily_prices, table
 from . import textual
 from .market import _ATT, _attention
@@ -120,9 +120,10 @@ def attention_gaps(spark, d):
 )
 def capture_audit(spark, d):
     """Per source: counts, greatest gaps of the source and of an item, hours with and without records."""
-    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    gap = lambda *k: F.col("us") - F.lag("us").over(Window.partitionBy(*k).orderBy("us", "event_id"))
-    t = e.withColumn("gap", gap("event_type")).withColumn("item_gap", gap("event_type", "user_id")).withColumn("hour", F.date_trunc("hour", "ts"))
+    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("kind", F.col("event_type"))
+    t = audits.since_last(e, "us", ("us", "event_id"), F.floor(F.col("us") / 3_600_000_000)).withColumn("gap", F.col("us") - F.col("before"))
+    item = Window.partitionBy("event_type", "user_id").orderBy("us", "event_id")
+    t = t.withColumn("item_gap", F.col("us") - F.lag("us").over(item)).withColumn("hour", F.date_trunc("hour", "ts"))
     every = e.select(F.date_trunc("hour", "ts").alias("hour")).distinct().agg(F.count("*").alias("every"))
     g = t.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("items"), F.floor(F.max("gap") / 1_000_000).alias("max_gap_s"), F.floor(F.max("item_gap") / 1_000_000).alias("max_item_gap_s"), F.countDistinct("hour").alias("hours"))
     return g.crossJoin(F.broadcast(every)).withColumn("missing_hours", F.col("every") - F.col("hours")).drop("every")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audits
 from ..sources.tables import table
 from ..streaming import keyed
 from .queries import query
@@ -116,19 +117,17 @@ def tick_filter(spark, d):
 
 @query("WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS before, lag(event_id) OVER (ORDER BY event_id) AS previous FROM events), m AS (SELECT event_type, CASE WHEN before IS NOT NULL THEN greatest(epoch_us(ts) // 1000 - epoch_us(before) // 1000, 0) END AS gap, ts < before AS back, event_id <> previous + 1 AS hole, sha256(props) <> sha256('{\"k\": ' || regexp_extract(props, '([0-9]+)', 1) || '}') AS torn FROM g) SELECT event_type, count(*) AS n, count(*) FILTER (back) AS regressions, count(*) FILTER (hole) AS holes, count(*) FILTER (torn) AS torn, max(gap) AS max_gap, quantile_disc(gap, 0.5) AS p50, quantile_disc(gap, 0.95) AS p95, quantile_disc(gap, 0.99) AS p99 FROM m GROUP BY 1")
 def tick_quality(spark, d):
-    from pyspark.sql import Window
-
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    e = table(spark, d, "events").withColumn("part", F.floor(F.col("event_id") / 4096))
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "props")
     # the row before by number: a join on the number, no window over all rows
-    numbers = e.select((F.col("event_id") + 1).alias("event_id"), F.lit(True).alias("follows"))
-    e = e.join(numbers, "event_id", "left").withColumn("before", F.lag("ts").over(Window.partitionBy("event_type").orderBy("event_id")))
-    gap = F.greatest(ms("ts") - ms("before"), F.lit(0))
-    least = e.agg(F.min("event_id").alias("least"))
-    e = e.crossJoin(F.broadcast(least)).withColumn("hole", F.col("follows").isNull() & (F.col("event_id") != F.col("least")))
+    numbers = e.select((F.col("seq") + 1).alias("seq"), F.lit(True).alias("follows"))
+    e = audits.since_last(e).join(numbers, "seq", "left")
+    ms = lambda c: F.floor(F.col(c) / 1000)
+    least = e.agg(F.min("seq").alias("least"))
+    e = e.crossJoin(F.broadcast(least)).withColumn("hole", F.col("follows").isNull() & (F.col("seq") != F.col("least")))
+    e = e.withColumn("gap", F.when(F.col("before").isNotNull(), F.greatest(ms("at") - ms("before"), F.lit(0))))
     torn = F.sha2("props", 256) != F.sha2(F.concat(F.lit('{"k": '), F.regexp_extract("props", "([0-9]+)", 1), F.lit("}")), 256)
-    q = lambda p: F.expr(f"percentile_disc({p}) within group (order by gap)")
-    return e.withColumn("gap", F.when(F.col("before").isNotNull(), gap)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("before")).alias("regressions"), F.count_if("hole").alias("holes"), F.count_if(torn).alias("torn"), F.max("gap").alias("max_gap"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    g = e.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("before")).alias("regressions"), F.count_if("hole").alias("holes"), F.count_if(torn).alias("torn"), F.max("gap").alias("max_gap"))
+    return g.join(audits.nearest_ranks(e, "kind", "gap", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "kind", "left").withColumnRenamed("kind", "event_type")
 
 
 @query(

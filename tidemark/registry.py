@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cases, companies, history, linking, market, reads, reference, research, roles, stream, textual  # noqa: F401  (they register their queries)
+from .plans import audits, cases, companies, history, linking, market, reads, reference, research, roles, stream, textual  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "theme_return_rank"
