@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.writes import write_days
@@ -156,3 +156,54 @@ def question_catalog(spark: SparkSession, themes: DataFrame, companies: DataFram
     named = lambda df, dimension, i, n: df.select(F.lit(dimension).alias("dimension"), F.col(i).cast("string").alias("id"), F.trim(F.col(n)).alias("name"))
     every = named(themes, "theme", "theme_id", "name").unionByName(named(companies, "company", "code", "name")).unionByName(named(types, "type", "type", "title"))
     return every.where("name <> ''").distinct()
+
+
+# What a snapshot of a market's day is called, where it comes from, and the fields of an older daily capture.
+SNAPSHOT = "provider string, dataset string, sourceKey string, endpoint string, asOf string, rawPayloadText string, rawHash string"
+PROVIDER, DATASET = "KRX_OPEN_API", "KRX_STOCK_DAILY"
+CAPTURE = "capturedAt string, listPage int, sourceUrl string, listEntries array<struct<title: string, date: string, sourceId: string, sourceUrl: string, sourceOrder: int, sourceDate: string>>, currentDetail struct<title: string, date: string, rawBody: string>"
+
+
+def snapshot_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Daily rows of market snapshots, one JSON object a line: source_key, code, market, day, close, change, shares, problem.
+
+    SOURCE_DATASET_MISMATCH for another provider or dataset, HASH where the payload's digest differs, MALFORMED_SOURCE_RESPONSE where rows, day, code or close are missing
+    (no change is none), SOURCE_REFERENCE_CONFLICT where a row's day or market is not the snapshot's, DUPLICATE_ECONOMIC_FIELD where a snapshot holds a code's day twice."""
+    s = spark.read.schema(SNAPSHOT).json(path)
+    key = F.split("sourceKey", ":")
+    s = s.withColumn("wanted_market", F.get(key, F.lit(0))).withColumn("wanted_day", F.try_to_date(F.get(key, F.lit(1)), "yyyyMMdd"))
+    whole = F.when((F.col("provider") != PROVIDER) | (F.col("dataset") != DATASET), "SOURCE_DATASET_MISMATCH").when(F.sha2("rawPayloadText", 256) != F.col("rawHash"), "HASH")
+    s = s.withColumn("snapshot_problem", whole).withColumn("rows", F.from_json("rawPayloadText", ENVELOPE)["OutBlock_1"])
+    s = s.withColumn("snapshot_problem", F.coalesce("snapshot_problem", F.when(F.col("rows").isNull() | F.col("wanted_day").isNull(), "MALFORMED_SOURCE_RESPONSE")))
+    r = s.select("sourceKey", "wanted_market", "wanted_day", F.to_date(F.substring("asOf", 1, 10)).alias("as_of"), "snapshot_problem", F.explode_outer("rows").alias("r"))
+    r = r.select(
+        F.col("sourceKey").alias("source_key"), "wanted_market", "wanted_day", "as_of", "snapshot_problem", F.trim("r.ISU_CD").alias("code"), F.trim("r.MKT_NM").alias("market"), F.try_to_date("r.BAS_DD", "yyyyMMdd").alias("day"),
+        _number("r.TDD_CLSPRC").alias("close"), _number("r.CMPPREVDD_PRC").alias("change"), _number("r.LIST_SHRS").cast("long").alias("shares"),
+    )
+    twice = r.groupBy("source_key", "code", "day").agg(F.count("*").alias("n"))
+    r = r.join(twice, ["source_key", "code", "day"], "left")
+    lacks = F.col("code").isNull() | (F.col("code") == "") | F.col("day").isNull() | F.col("close").isNull() | F.col("shares").isNull()
+    problem = F.coalesce("snapshot_problem", F.when(lacks, "MALFORMED_SOURCE_RESPONSE"), F.when((F.col("day") != F.col("wanted_day")) | (F.col("day") != F.col("as_of")) | (F.col("market") != F.col("wanted_market")), "SOURCE_REFERENCE_CONFLICT"), F.when(F.col("n") > 1, "DUPLICATE_ECONOMIC_FIELD"))
+    return r.select("source_key", "code", "market", "day", "close", "change", "shares", problem.alias("problem"))
+
+
+def legacy_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of older daily captures (one JSON object a file): page, place, post_key, title, published, status (what the entry lacks, OK if nothing), body (of
+    the post that the capture shows) and match: TITLE, DATE (the only entry of the day) or null. A capture without time zone, page or list, or an entry without title, is no entry but
+    a row with problem DAILY_CAPTURE_INVALID, DAILY_PAGE_INVALID, DAILY_LIST_INVALID or DAILY_TITLE_MISSING."""
+    c = spark.read.schema(CAPTURE).option("multiLine", "true").json(path).withColumn("file", F.input_file_name())
+    zoned = F.rlike("capturedAt", F.lit(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"))
+    whole = F.when(~F.coalesce(zoned, F.lit(False)), "DAILY_CAPTURE_INVALID").when(F.col("listPage").isNull() | (F.col("listPage") < 1), "DAILY_PAGE_INVALID").when(F.col("listEntries").isNull(), "DAILY_LIST_INVALID")
+    e = c.withColumn("problem", whole).select("file", F.col("listPage").alias("page"), "problem", F.col("currentDetail").alias("detail"), F.posexplode_outer("listEntries").alias("at", "e"))
+    e = e.withColumn("title", F.trim("e.title")).withColumn("published", F.try_to_date("e.date", "yyyy-MM-dd"))
+    e = e.withColumn("problem", F.coalesce("problem", F.when(F.coalesce(F.col("title"), F.lit("")) == "", "DAILY_TITLE_MISSING")))
+    natural = F.concat(F.lit("post_"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("")), "title"), 256), 1, 24))
+    lacks = F.array_compact(F.array(F.when(F.col("e.sourceId").isNull(), "SOURCE_ID_MISSING"), F.when(F.col("e.sourceUrl").isNull(), "SOURCE_URL_MISSING")))
+    e = e.withColumn("status", F.when(F.size(lacks) > 0, F.array_join(lacks, "|")).otherwise("OK")).withColumn("post_key", F.coalesce(F.concat(F.lit("post_"), F.trim("e.sourceId")), natural))
+    same = (F.try_to_date("detail.date", "yyyy-MM-dd") == F.col("published")) & F.col("problem").isNull()
+    own = F.coalesce((F.trim("detail.title") == F.col("title")) & same, F.lit(False))
+    of_file = Window.partitionBy("file")
+    e = e.withColumn("own", own).withColumn("any_own", F.max("own").over(of_file)).withColumn("of_day", F.count_if(same).over(of_file))
+    match = F.when(F.col("own"), "TITLE").when(~F.col("any_own") & F.coalesce(same, F.lit(False)) & (F.col("of_day") == 1), "DATE")
+    e = e.withColumn("match", match)
+    return e.select("page", F.coalesce("e.sourceOrder", "at").alias("place"), "post_key", "title", "published", "status", F.when(F.col("match").isNotNull(), F.col("detail.rawBody")).alias("body"), "match", "problem")
