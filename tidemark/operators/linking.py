@@ -69,3 +69,40 @@ def agreement(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     a, b = F.array(F.col("a.primary"), F.col("a.alternative")), F.array(F.col("b.primary"), F.col("b.alternative"))
     status = F.when(F.col("a.primary").isNull() | F.col("b.primary").isNull(), "MISSING").when(F.col("a.primary") == F.col("b.primary"), "STRICT").when(F.arrays_overlap(a, b), "LENIENT").otherwise("DISAGREE")
     return x.select(key, F.col("a.primary").alias("first"), F.col("b.primary").alias("second"), status.alias("status"))
+
+
+#: How strong an earlier decision is (above 0 it is kept where evidence is gone), and when a theme without evidence has none.
+STRENGTH = {"SEARCHING": 0, "NO_NEW_CATALYST": 0, "SINGLE_SOURCE": 1, "REEMERGENCE": 1, "MULTI_SOURCE_CONFIRMED": 2, "AFTER_CLOSE_CONFIRMED": 3}
+NO_CATALYST_AFTER = "10 minutes"
+
+
+def evidence_decisions(contexts: DataFrame, evidence: DataFrame, previous: DataFrame) -> DataFrame:
+    """contexts: theme_id, activated_at, now, known_keys, degraded, after_close (summary or null). evidence: theme_id, place, news_id, publisher, title, summary, entities. previous:
+    theme_id, status, summary, news_ids, catalyst_key. One row a context: status (one of six), summary, news_ids, catalyst_key, reason.
+
+    The close's own summary confirms. Evidence of two publishers under two titles (case and white space aside) confirms; else a key known from before re-emerges, else it is a
+    single source. Without evidence an earlier decision of any strength stays; degraded sources say nothing; after NO_CATALYST_AFTER there is no new catalyst.
+    The key is the hash of the theme and its different entities; without entities there is none."""
+    said = lambda c: F.nullif(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit(""))
+    listed = F.array_sort(F.collect_list(F.struct("place", "news_id", "summary")))
+    g = evidence.groupBy("theme_id").agg(F.countDistinct(said("publisher")).alias("publishers"), F.countDistinct(said("title")).alias("titles"), listed.alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("entities", F.array().cast("array<string>")))))).alias("entities"))
+    key = F.when(F.size("entities") > 0, F.concat(F.lit("cat_"), F.substring(F.sha2(F.concat_ws("|", F.col("theme_id").cast("string"), F.array_join("entities", ",")), 256), 1, 24)))
+    g = g.select("theme_id", "publishers", "titles", F.col("x")[0]["summary"].alias("first"), F.array_distinct(F.transform("x", lambda e: e["news_id"])).alias("ids"), key.alias("key"))
+    old = previous.select("theme_id", *[F.col(c).alias(f"old_{c}") for c in ("status", "summary", "news_ids", "catalyst_key")])
+    x = contexts.join(g, "theme_id", "left").join(old, "theme_id", "left")
+    strong = F.coalesce(F.col("old_status").isin(*[s for s, n in STRENGTH.items() if n > 0]), F.lit(False))
+    closed, found = F.col("after_close").isNotNull(), F.col("publishers").isNotNull()
+    late = F.col("now") - F.col("activated_at") >= F.expr(f"INTERVAL {NO_CATALYST_AFTER}")
+    case = (
+        F.when(closed, "CLOSE").when(found & (F.col("publishers") >= 2) & (F.col("titles") >= 2), "PUBLISHERS").when(found & F.coalesce(F.array_contains("known_keys", F.col("key")), F.lit(False)), "KNOWN").when(found, "ONE")
+        .when(strong, "KEPT").when(F.coalesce("degraded", F.lit(False)), "DEGRADED").when(late, "NOTHING").otherwise("EARLY")
+    )
+    x = x.withColumn("reason", case)
+    status = F.when(F.col("reason") == "KEPT", F.col("old_status"))
+    for reason, name in (("CLOSE", "AFTER_CLOSE_CONFIRMED"), ("PUBLISHERS", "MULTI_SOURCE_CONFIRMED"), ("KNOWN", "REEMERGENCE"), ("ONE", "SINGLE_SOURCE"), ("NOTHING", "NO_NEW_CATALYST")):
+        status = status.when(F.col("reason") == reason, name)
+    kept, with_news = F.col("reason") == "KEPT", F.col("reason").isin("CLOSE", "PUBLISHERS", "KNOWN", "ONE")
+    none = F.array().cast("array<string>")
+    summary = F.when(closed, F.col("after_close")).when(kept, F.col("old_summary")).when(with_news, F.col("first"))
+    ids = F.when(kept, F.coalesce("old_news_ids", none)).when(with_news, F.coalesce(F.transform("ids", lambda i: i.cast("string")), none)).otherwise(none)
+    return x.select("theme_id", status.otherwise("SEARCHING").alias("status"), summary.alias("summary"), ids.alias("news_ids"), F.when(kept, F.col("old_catalyst_key")).when(with_news, F.col("key")).alias("catalyst_key"), "reason")

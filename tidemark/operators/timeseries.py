@@ -47,12 +47,13 @@ def factor_events(prices: DataFrame, change: Column, low: float = 0.001, high: f
     return p.withColumn("broken", F.coalesce(broken, F.lit(True))).withColumn("factor", F.when(F.col("previous").isNotNull() & ~F.col("broken") & (F.col("base") != F.col("previous")), ratio).otherwise(1.0))
 
 
-def adjusted_closes(events: DataFrame) -> DataFrame:
-    """stock_id, day, adjusted: close times all later factors, to 6 places; null before the latest break."""
+def adjusted_closes(events: DataFrame, places: int | None = 6) -> DataFrame:
+    """stock_id, day, adjusted: close times all later factors, to so many places (None: as it is); null before the latest break."""
     later = Window.partitionBy("stock_id").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     scale = F.coalesce(F.product("factor").over(later), F.lit(1.0))
     cut = F.coalesce(F.max("broken").over(later), F.lit(False))
-    return events.select("stock_id", "day", F.when(~cut, F.round(F.col("close") * scale, 6)).alias("adjusted"))
+    exact = F.col("close") * scale
+    return events.select("stock_id", "day", F.when(~cut, exact if places is None else F.round(exact, places)).alias("adjusted"))
 
 
 def basket_returns(members: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -151,3 +151,34 @@ def polling_cursor(spark, d):
     c = e.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).groupBy("event_type").agg(F.max("ts").alias("cursor"))
     n = e.select("event_type", F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("ts")).join(F.broadcast(c), "event_type")
     return n.where("ts is null or ts > cursor").groupBy("event_type").agg(F.count("*").alias("new_items"), F.max("ts").alias("next_cursor"))
+
+
+# users as themes, their views and clicks of ten days as news; a third of the themes have an earlier decision
+_EVIDENCE = """th AS (SELECT user_id AS theme_id, min(ts) FILTER (event_type = 'signup') AS first_signup, max(ts) AS last FROM events GROUP BY 1),
+ctx AS (SELECT theme_id, coalesce(first_signup, last - INTERVAL 5 MINUTE) AS activated_at, last AS now, CASE WHEN theme_id % 2 = 0 THEN ['cat_' || substr(sha256(theme_id || '|' || 'e1'), 1, 24)] ELSE [] END AS known, theme_id % 7 = 0 AS degraded, CASE WHEN theme_id % 11 = 0 THEN 'closed ' || theme_id END AS after_close FROM th),
+evi AS (SELECT user_id AS theme_id, event_id AS news_id, ['Alpha', ' alpha', 'Beta', ' '][event_id % 4 + 1] AS publisher, 'Title  ' || event_id % 3 AS title, 's' || event_id AS summary, CASE WHEN event_id % 6 = 0 THEN [] ELSE ['e' || event_id % 2] END AS entities FROM events WHERE event_type IN ('view', 'click') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND (user_id % 4 > 0 OR event_id % 5 = 0)),
+old AS (SELECT theme_id, ['SEARCHING', 'SINGLE_SOURCE', 'MULTI_SOURCE_CONFIRMED', 'NO_NEW_CATALYST'][theme_id // 3 % 4 + 1] AS status, 'old' || theme_id AS summary, ['n1', 'n2'] AS ids, 'cat_old' AS key FROM th WHERE theme_id % 3 = 0),
+agg AS (SELECT theme_id, count(DISTINCT nullif(lower(trim(publisher)), '')) AS publishers, count(DISTINCT title) AS titles, arg_min(summary, news_id) AS first, list(news_id::VARCHAR ORDER BY news_id) AS ids, list_sort(list_distinct(flatten(list(entities)))) AS ent FROM evi GROUP BY 1),
+j AS (SELECT ctx.*, publishers, titles, first, agg.ids, CASE WHEN len(ent) > 0 THEN 'cat_' || substr(sha256(ctx.theme_id || '|' || array_to_string(ent, ',')), 1, 24) END AS key, old.status AS os, old.summary AS osum, old.ids AS oids, old.key AS okey FROM ctx LEFT JOIN agg USING (theme_id) LEFT JOIN old USING (theme_id)),
+k AS (SELECT *, CASE WHEN after_close IS NOT NULL THEN 'CLOSE' WHEN publishers >= 2 AND titles >= 2 THEN 'PUBLISHERS' WHEN publishers IS NOT NULL AND list_contains(known, key) THEN 'KNOWN' WHEN publishers IS NOT NULL THEN 'ONE' WHEN os IN ('SINGLE_SOURCE', 'REEMERGENCE', 'MULTI_SOURCE_CONFIRMED', 'AFTER_CLOSE_CONFIRMED') THEN 'KEPT' WHEN degraded THEN 'DEGRADED' WHEN now - activated_at >= INTERVAL 10 MINUTE THEN 'NOTHING' ELSE 'EARLY' END AS reason FROM j)"""
+
+
+@query(
+    f"WITH {_EVIDENCE} SELECT theme_id, reason, CASE reason WHEN 'CLOSE' THEN 'AFTER_CLOSE_CONFIRMED' WHEN 'PUBLISHERS' THEN 'MULTI_SOURCE_CONFIRMED' WHEN 'KNOWN' THEN 'REEMERGENCE' WHEN 'ONE' THEN 'SINGLE_SOURCE' WHEN 'KEPT' THEN os WHEN 'NOTHING' THEN 'NO_NEW_CATALYST' ELSE 'SEARCHING' END AS status, "
+    "CASE WHEN reason = 'CLOSE' THEN after_close WHEN reason = 'KEPT' THEN osum WHEN reason IN ('PUBLISHERS', 'KNOWN', 'ONE') THEN first END AS summary, array_to_string(CASE WHEN reason = 'KEPT' THEN oids WHEN reason IN ('CLOSE', 'PUBLISHERS', 'KNOWN', 'ONE') THEN coalesce(ids, []) ELSE [] END, ',') AS news_ids, CASE WHEN reason = 'KEPT' THEN okey WHEN reason IN ('CLOSE', 'PUBLISHERS', 'KNOWN', 'ONE') THEN key END AS catalyst_key FROM k"
+)
+def evidence_decision(spark, d):
+    """What the evidence of each theme allows to say, with the earlier decision and the state of the sources."""
+    e = table(spark, d, "events")
+    u, i = F.col("user_id"), F.col("event_id")
+    th = e.groupBy(u.alias("theme_id")).agg(F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("first_signup"), F.max("ts").alias("now"))
+    t = F.col("theme_id")
+    known = F.when(t % 2 == 0, F.array(F.concat(F.lit("cat_"), F.substring(F.sha2(F.concat(t.cast("string"), F.lit("|e1")), 256), 1, 24)))).otherwise(F.array().cast("array<string>"))
+    contexts = th.select("theme_id", F.coalesce("first_signup", F.col("now") - F.expr("INTERVAL 5 MINUTE")).alias("activated_at"), "now", known.alias("known_keys"), (t % 7 == 0).alias("degraded"), F.when(t % 11 == 0, F.concat(F.lit("closed "), t.cast("string"))).alias("after_close"))
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    n = e.where(F.col("event_type").isin("view", "click") & (F.col("ts") >= day("2024-01-10")) & (F.col("ts") < day("2024-01-20")) & ((u % 4 > 0) | (i % 5 == 0)))
+    entities = F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("e"), (i % 2).cast("string"))))
+    news = n.select(u.alias("theme_id"), i.alias("place"), i.alias("news_id"), F.get(F.array(*map(F.lit, ("Alpha", " alpha", "Beta", " "))), (i % 4).cast("int")).alias("publisher"), F.concat(F.lit("Title  "), (i % 3).cast("string")).alias("title"), F.concat(F.lit("s"), i.cast("string")).alias("summary"), entities.alias("entities"))
+    states = F.get(F.array(*map(F.lit, ("SEARCHING", "SINGLE_SOURCE", "MULTI_SOURCE_CONFIRMED", "NO_NEW_CATALYST"))), (F.floor(t / 3) % 4).cast("int"))
+    previous = th.where(t % 3 == 0).select("theme_id", states.alias("status"), F.concat(F.lit("old"), t.cast("string")).alias("summary"), F.array(F.lit("n1"), F.lit("n2")).alias("news_ids"), F.lit("cat_old").alias("catalyst_key"))
+    return L.evidence_decisions(contexts, news, previous).withColumn("news_ids", F.array_join("news_ids", ","))

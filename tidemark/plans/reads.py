@@ -216,13 +216,27 @@ def overlap_violations(spark, d):
     return writes.overlaps(o, ["o_custkey"], "a", "b")
 
 
-@query(
+_ADJUSTED = (
     f"WITH {_DAILY}, x AS (SELECT stock_id, day, close, lag(close) OVER w AS previous, close - CASE WHEN stock_id % 17 = 0 AND extract(day FROM day) = 3 THEN NULL WHEN extract(day FROM day) <= 10 THEN close * 0.5::DOUBLE ELSE close - lag(close) OVER w END AS base FROM daily WINDOW w AS (PARTITION BY stock_id ORDER BY day)), "
     "f AS (SELECT stock_id, day, close, CASE WHEN previous IS NULL THEN FALSE ELSE base IS NULL OR base <= 0 OR NOT (base / previous BETWEEN 0.001 AND 1000) END AS broken, CASE WHEN previous IS NOT NULL AND base > 0 AND base / previous BETWEEN 0.001 AND 1000 AND base <> previous THEN base / previous ELSE 1.0 END AS factor FROM x), "
-    "a AS (SELECT stock_id, day, close, coalesce(product(factor) OVER l, 1.0) AS scale, coalesce(bool_or(broken) OVER l, FALSE) AS cut FROM f WINDOW l AS (PARTITION BY stock_id ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT stock_id, count(*) AS n, count(CASE WHEN NOT cut THEN 1 END) AS adjusted, round(ln(max(CASE WHEN NOT cut THEN close * scale END)), 4) AS most FROM a GROUP BY 1"
+    "a AS (SELECT stock_id, day, close, coalesce(product(factor) OVER l, 1.0) AS scale, coalesce(bool_or(broken) OVER l, FALSE) AS cut FROM f WINDOW l AS (PARTITION BY stock_id ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 )
+
+
+@query(f"{_ADJUSTED} SELECT stock_id, count(*) AS n, count(CASE WHEN NOT cut THEN 1 END) AS adjusted, round(ln(max(CASE WHEN NOT cut THEN close * scale END)), 4) AS most FROM a GROUP BY 1")
 def adjusted_closes(spark, d):
-    """The corpus's adjusted closes themselves: how many of a stock have one, and the greatest."""
+    """Of the corpus's adjusted closes: how many of a stock there are, and the greatest."""
+    a = _adjusted(spark, d)
+    return a.groupBy("stock_id").agg(F.count("*").alias("n"), F.count("adjusted").alias("adjusted"), F.round(F.ln(F.max("adjusted")), 4).alias("most"))
+
+
+@query(f"{_ADJUSTED} SELECT stock_id, day, CASE WHEN NOT cut THEN printf('%.10e', close * scale)::DOUBLE END AS adjusted FROM a")
+def adjusted_close_rows(spark, d):
+    """The corpus's adjusted closes, one by one, to 11 digits."""
+    return _adjusted(spark, d, None).select("stock_id", "day", F.format_string("%.10e", "adjusted").try_cast("double").alias("adjusted"))
+
+
+def _adjusted(spark, d, places=6):
     p = daily_prices(spark, d)
     before = F.lag("close").over(Window.partitionBy("stock_id").orderBy("day"))
     day = F.dayofmonth("day")
@@ -230,8 +244,7 @@ def adjusted_closes(spark, d):
     events = timeseries.factor_events(p.withColumn("change", change), F.col("change"))
     first = F.lag("close").over(Window.partitionBy("stock_id").orderBy("day")).isNull()
     events = events.withColumn("broken", F.when(first, False).otherwise(F.col("broken")))
-    a = timeseries.adjusted_closes(events)
-    return a.groupBy("stock_id").agg(F.count("*").alias("n"), F.count("adjusted").alias("adjusted"), F.round(F.ln(F.max("adjusted")), 4).alias("most"))
+    return timeseries.adjusted_closes(events, places)
 
 
 @query("WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS total, nth_value(o_orderkey, 3) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM orders WHERE o_totalprice < 400000 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC)) SELECT o_custkey, o_orderkey, place, total > 3 AS has_more, CASE WHEN total > 3 THEN third END AS next_cursor FROM p WHERE place <= 3")
