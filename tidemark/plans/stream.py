@@ -50,7 +50,18 @@ def hot_state_dispositions(spark, d):
     return keyed.hot_state(_updates(spark, d)).select("day", "stock_id", "arrival", "disposition", "version")
 
 
-@query()
+# one step a tick: what was seen, each lane's last accepted one and the latest observation are lists and values of the state
+_FENCE = """e AS (SELECT user_id % 15 AS key, event_id AS arrival, date_diff('day', DATE '2024-01-01', ts::DATE) AS session, event_id // 3 AS identity, event_id % 2 AS payload, event_type AS lane, event_id - CASE WHEN event_id % 5 = 0 THEN 300 ELSE 0 END AS spot, event_id - CASE WHEN event_id % 17 = 0 THEN 900 ELSE 0 END AS received, event_id // 50 AS occurred, event_type = 'view' AS live,
+  row_number() OVER (PARTITION BY user_id % 15 ORDER BY event_id) AS n FROM events),
+f(key, n, arrival, session, seen, lanes, latest, disposition) AS (SELECT DISTINCT key, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::STRUCT(i BIGINT, p BIGINT)[], []::STRUCT(l VARCHAR, s BIGINT, r BIGINT)[], NULL::STRUCT(o BIGINT, v BOOLEAN, r BIGINT), NULL::VARCHAR FROM e
+  UNION ALL SELECT key, n, arrival, now, CASE WHEN d = 'ACCEPTED' THEN list_append(seen, {'i': identity, 'p': payload}) ELSE seen END, CASE WHEN d = 'ACCEPTED' THEN list_append(list_filter(open_lanes, lambda x: x.l <> lane), {'l': lane, 's': spot, 'r': received}) ELSE open_lanes END, CASE WHEN d = 'ACCEPTED' THEN {'o': occurred, 'v': live, 'r': received} ELSE latest END, d
+  FROM (SELECT *, CASE WHEN session < now THEN 'OLD_SESSION' WHEN len(list_filter(seen, lambda x: x.i = identity)) > 0 THEN CASE WHEN list_filter(seen, lambda x: x.i = identity)[1].p = payload THEN 'DUPLICATE' ELSE 'CONFLICT' END
+      WHEN len(list_filter(open_lanes, lambda x: x.l = lane AND (spot <= x.s OR received < x.r))) > 0 THEN 'OUT_OF_ORDER'
+      WHEN latest IS NOT NULL AND (occurred < latest.o OR occurred = latest.o AND (latest.v AND NOT live OR latest.v = live AND received < latest.r)) THEN 'OLD_OBSERVATION' ELSE 'ACCEPTED' END AS d
+    FROM (SELECT e.*, f.seen, f.latest, greatest(coalesce(f.session, e.session), e.session) AS now, CASE WHEN f.session IS NULL OR e.session > f.session THEN [] ELSE f.lanes END AS open_lanes FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_FENCE} SELECT key, arrival, disposition FROM f WHERE n > 0")
 def order_fence(spark, d):
     i = F.col("event_id")
     e = table(spark, d, "events").select(
