@@ -88,3 +88,18 @@ def test_days_between_stops_at_unresolved_days(spark):
     rows = rows.select("id", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
     got = {r["id"]: r["n"] for r in asof.days_between(rows, "a", "b", calendar).collect()}
     assert got == {1: 5, 2: 6, 3: None, 4: 0}
+
+
+def test_fractions_equal_sorting(spark):
+    import random
+
+    from tidemark.operators import research
+
+    r = random.Random(6)
+    rows = [(k, r.choice([1.5, r.gauss(0, 9), float(r.randint(-3, 3))])) for k in "abc" for _ in range(r.randint(30, 90))] + [("one", 4.0), ("same", 2.0), ("same", 2.0), (None, 1.0), (None, 3.0), ("none", None)]
+    got = research.at_fraction(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"low": 0.0, "p25": 0.25, "half": 0.5, "top": 1.0}, 8)
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        v = sorted(x for kk, x in rows if kk == k and x is not None)
+        want[k] = (len(v), *(v[min(int(len(v) * f), len(v) - 1)] for f in (0.0, 0.25, 0.5, 1.0)))
+    assert {x["k"]: tuple(x)[1:] for x in got.collect() if x["k"] is not None} == {k: v for k, v in want.items() if k is not None}

@@ -17,12 +17,22 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
     return n.withColumn("share", F.try_divide(100 * F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
-def at_fraction(rows: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    """Per key the value at position floor(f * n) of its sorted values, the last at most, for each name's f; n counts them."""
-    v = rows.where(F.col(value).isNotNull())
-    v = v.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(value))).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
-    pick = [F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * f), F.col("n") - 1) + 1, F.col(value))).alias(name) for name, f in names.items()]
-    return v.groupBy(*key).agg(F.max("n").alias("n"), *pick)
+def at_fraction(rows: DataFrame, key: list[str], value: str, names: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """Per key the value at position floor(f * n) of its sorted values, the last at most, for each name's f; n counts them. Values are finite.
+
+    No task sorts a key's values: they are counted in buckets between the key's least and greatest, running counts over the buckets say in
+    which one each position lies, and only these buckets' values are put in order."""
+    v = rows.where(F.col(value).isNotNull()).select(F.struct(*key).alias("k"), F.col(value).alias("v"))
+    reach = v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    v = v.join(reach, "k").select("k", "v", part.cast("int").alias("bucket"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = v.groupBy("k", "bucket").agg(F.count("*").alias("c")).withColumn("before", before).join(reach.select("k", "n"), "k")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * f), F.col("n") - 1).alias("at")) for name, f in names.items()]))
+    picks = c.select("k", "bucket", "before", "c", "n", wanted.alias("w")).where((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("c")))
+    near = v.join(picks.select("k", "bucket", "n", F.col("w.name").alias("name"), (F.col("w.at") - F.col("before") + 1).alias("nth")), ["k", "bucket"])
+    found = near.withColumn("i", F.row_number().over(Window.partitionBy("k", "name").orderBy("v"))).where("i = nth")
+    return found.groupBy("k").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names]).select("k.*", "n", *names)
 
 
 def cooccurrence(mentions: DataFrame, item: str, who: str, subject: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import asof, metrics, timeseries
+from ..operators import asof, metrics, research, timeseries
 from ..sources.tables import daily_prices, members, table, yearly_returns
 from ..streaming import folds
 
@@ -266,10 +266,7 @@ def change_only_revision(spark, d):
 
 @query("WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS v FROM part GROUP BY 1) SELECT p_brand, len(v) AS n, v[(len(v) // 2 + 1)::BIGINT] AS upper_median, v[(len(v) // 4 + 1)::BIGINT] AS p25 FROM g")
 def group_median_p25(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice")
-    x = table(spark, d, "part").withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("p_brand")))
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") / k) + 1, F.col("p_retailprice")))
-    return x.groupBy("p_brand").agg(F.max("n").alias("n"), at(2).alias("upper_median"), at(4).alias("p25"))
+    return research.at_fraction(table(spark, d, "part"), ["p_brand"], "p_retailprice", {"upper_median": 0.5, "p25": 0.25})
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('salt-1|' || doc_id), doc_id) AS i FROM documents) WHERE i <= 20")
