@@ -647,3 +647,17 @@ def test_repeats_chunk_costs_the_same_whatever_the_number_of_buckets():
         rows[buckets] = sum(b.num_rows for b in repeats._edges_of(20, buckets)(iter([batch])))
         took[buckets] = time.process_time() - began
     assert rows[100_000_000] <= 40_000 and took[100_000_000] < 3 * took[100_000] + 1
+
+
+def test_empty_documents_table(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs.limit(0), labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_personal_data_in_a_long_text_full_of_hints(spark):
+    base = "write to ann.b1@mail.example.org, +1 212 555 0198 or 10.0.0.7 dot 3 @ 4 "
+    text = base * 8_000
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    assert (got[1]["n_email"], got[1]["n_phone"], got[1]["n_ip"]) == (8_000, 8_000, 8_000)
+    assert got[2]["spans"] == got[3]["spans"] == ""

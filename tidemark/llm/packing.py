@@ -201,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, tokens: int = TOKEN
     prompt: its ids bear no loss, all others do (a text of one line is all answer). Each id lies in exactly one piece; sequences hold
     at most `tokens`, `segments` and `loss`, without gaps; one shorter than `tokens` is a power of two long.
     Rows that repeat a doc_id are packed each by itself. Texts of any length are encoded whole; one longer than a limit gives several
-    pieces. sequence_id is the task's number and a count. Other columns play no part.
+    pieces. sequence_id is the task's number and a count. An empty table gives no rows. Other columns play no part.
     """
 
     def run(batches: Batches) -> Batches:

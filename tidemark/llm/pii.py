@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: that hold personal data, one stretch around it of each. No more of the corpus is seen in training, at any size; tagging reads all of it.
 SAMPLE, STRETCHES, STRETCH = 256, 8, 250
 EXAMPLES, EPOCHS, HIDDEN, SPAN = 3072, 8, 16, 64
+#: Tagged spans of fewer characters are dropped: no card, phone number or address of four numbers is shorter, and shorter e-mail addresses are the fixed pattern's.
+SHORTEST = 7
 #: A tagged span must beat "nothing" by this much on average.
 MARGIN = 0.1
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -337,6 +341,19 @@ def _around(text: str, lo: int, hi: int, least: int) -> tuple[int, int]:
     return width, max(0, min((lo + hi - width) // 2, len(text) - width))
 
 
+class _Reach:
+    """Intervals, to ask how far those reach that start before a place."""
+
+    def __init__(self, intervals: list[tuple[int, int]]):
+        some = sorted(intervals)
+        self.starts = [a for a, _ in some]
+        self.ends = list(accumulate((b for _, b in some), max))
+
+    def before(self, place: int) -> int:
+        k = bisect_left(self.starts, place)
+        return self.ends[k - 1] if k else -1
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Per text the tagger's spans, reconciled: of overlapping ones those of best total score."""
     where = [(i, s, 0, len(t)) for i, t in enumerate(texts) for s in _windows(t)]
@@ -368,7 +385,7 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
                         else:
                             whole.setdefault(i, []).append((lo, hi))
                             score = float(gain[r, p:q].mean())
-                            if score >= MARGIN and q - p >= 7 and _plausible(KINDS[kind], texts[i][lo:hi]):
+                            if score >= MARGIN and q - p >= SHORTEST and _plausible(KINDS[kind], texts[i][lo:hi]):
                                 found[i].append((lo, hi, KINDS[kind], score * (q - p)))
                     p = q
         return whole, cuts
@@ -376,8 +393,9 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
     whole, cuts = read(where, SPAN)
     # cut runs that no window sees whole; those that overlap are one
     todo: list[list[int]] = []
+    seen = {i: _Reach(runs) for i, runs in whole.items()}
     for i, lo, hi, width in sorted(cuts):
-        if any(a <= lo and hi <= b for a, b in whole.get(i, ())):
+        if i in seen and seen[i].before(lo + 1) >= hi:
             continue
         if todo and todo[-1][0] == i and lo < todo[-1][2]:
             todo[-1][2] = max(hi, todo[-1][2])
@@ -395,7 +413,7 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
         ends = [x[1] for x in spans]
         best: list[tuple[float, tuple]] = [(0.0, ())]
         for j, (lo, hi, kind, score) in enumerate(spans):
-            k = int(np.searchsorted(ends[:j], lo, "right"))
+            k = bisect_right(ends, lo, 0, j)
             take = (best[k][0] + score, (best[k][1], (lo, hi, kind)))
             best.append(max(best[j], take, key=lambda x: x[0]))
         chain, chosen = best[-1][1], []
@@ -416,9 +434,8 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
         own = base.get(i, [])
         more = []
         if extra.get(i):
-            starts = np.array([s[0] for s in own] or [0])
-            ends = np.array([s[1] for s in own] or [0])
-            more = [s for s in extra[i] if not ((starts < s[1]) & (ends > s[0])).any()]
+            reach = _Reach([s[:2] for s in own])
+            more = [s for s in extra[i] if reach.before(s[1]) <= s[0]]
         out.append((own, sorted([*own, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else own))
     return out
 
@@ -452,8 +469,10 @@ def _tagger(docs: DataFrame) -> Tagger:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the fixed patterns' spans), spans (all spans).
 
-    Null and empty texts have no spans. Rows that repeat a doc_id are read each by itself. Offsets are code points,
-    ends exclusive. Only text is read; other columns play no part.
+    The fixed patterns read every text whole. The tagger reads windows of whole texts around digits, @ and the word dot (_HINT), for every way of writing that it
+    learns has one of these; what it finds counts from SHORTEST characters on, and only if it passes its kind's own test (digits, Luhn, parts up to 255).
+    Null and empty texts have no spans; texts of any length are read whole; an empty table gives no rows. Rows that repeat a doc_id are read each by
+    itself. Offsets are code points, ends exclusive. Only text is read; other columns play no part.
     """
     tagger = _tagger(docs)
     out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -471,7 +490,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, such as [EMAIL]; n_chars follows. Other columns stay."""
+    """docs with every span of text replaced by its kind in brackets, such as [EMAIL]; n_chars follows. Other columns stay.
+
+    Spans are those of find_personal_data(). Null and empty texts stay as they are, repeated rows are read each by itself, texts of any length
+    whole; an empty table stays empty."""
     tagger = _tagger(docs)
 
     def run(batches: Batches) -> Batches:

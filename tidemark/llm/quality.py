@@ -140,6 +140,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs, all columns, whose whole text is predicted 1. Fitted as classify() is.
 
+    Null and empty texts are scored as the empty text, repeated rows each by itself, texts of any length whole; an empty table stays empty.
     The statistics are computed once: they are written beside the rows, in a column of a name that docs does not have.
     """
     name = "stats"

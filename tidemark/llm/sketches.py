@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
 
     Texts that are null, empty or only white space have no shingles and link with nothing. Rows that repeat a
-    doc_id are one node. A null doc_id gives a null component_id and kept = false. Other columns play no part.
+    doc_id are one node. A null doc_id gives a null component_id and kept = false. Texts of any length are compared whole (their
+    sets are formed in memory that grows with the one text); an empty table gives no rows. Other columns play no part.
     """
     rows = stage(sketches(docs))
     classes = stage(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
