@@ -42,3 +42,19 @@ def test_amounts(spark):
     cases = [("수주액 1.5조원 이상", ("GTE", 1_500_000_000_000)), ("300억 넘는 계약", ("GT", 30_000_000_000)), ("2천만원 이하 3원 미만", ("LTE", 20_000_000)), ("5만원", ("GTE", 50_000)), ("없음", None), (None, None)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string").select("i", periods.amount(F.col("text")).alias("m"))
     assert {r["i"]: r["m"] and (r["m"]["comparator"], r["m"]["value"]) for r in df.collect()} == {i: w and (w[0], Decimal(w[1])) for i, (_, w) in enumerate(cases)}
+
+
+def test_article_urls(spark):
+    from tidemark.functions import text
+
+    cases = {
+        " http://WWW.Example.com:80/a/b//?b=2&a=x%20y&UTM_Source=q&ref=1#top": "https://example.com/a/b?a=x+y&b=2",
+        "HTTPS://u:p@m.example.com:8443": "https://m.example.com:8443/",
+        "https://x.y/?q=&k&&q=1": "https://x.y/?k=&q=&q=1",
+        "https://x.y/p?t=a*b~%C3%A9+z": "https://x.y/p?t=a%2Ab~%C3%A9+z",
+        "ftp://x.y/": None,
+        "/relative": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(u,) for u in cases] + [(None,)], "u string").select("u", text.article_url(F.col("u")).alias("v"))
+    assert {r["u"]: r["v"] for r in df.collect()} == cases | {None: None}

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import events as E
+from ..functions import text as T
 from ..sources.tables import table
 from .queries import query
 
@@ -171,3 +172,23 @@ def actor_mentions(spark, d):
     m = s.select("user_id", "day", F.explode(F.regexp_extract_all("text", F.lit("(signup error|click view|signup|error|view)"), 1)).alias("alias"))
     actor = F.when(F.col("alias") == "signup error", "A").when(F.col("alias") == "signup", "B").when(F.col("alias") == "error", "C").when(F.col("alias") == "view", "D").otherwise("E")
     return m.groupBy("user_id", "day", actor.alias("actor")).agg(F.count("*").alias("mentions"))
+
+
+# addresses of pages, written in several ways
+_ADDRESS = "CASE page_id % 6 WHEN 0 THEN replace(url, 'https://', 'HTTP://') WHEN 1 THEN replace(url, 'https://', 'http://WWW.') || '/?b=2&a=x%20y&utm_source=q&ref=1' WHEN 2 THEN 'ftp://x/' || page_id WHEN 3 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:8080') || '?z=&Fbclid=3&k' WHEN 4 THEN regexp_replace(url, '^(https?://[^/]+)', '\\1:443') || '//#top' ELSE url || '?q=a+b&q=%C3%A9~' END"
+
+
+@query(
+    f"WITH a AS (SELECT page_id, {_ADDRESS} AS u FROM pages), p AS (SELECT page_id, regexp_extract(u, '^((?i:https?))://([^/?#:]+)(?::([0-9]+))?([^?#]*)(?:\\?([^#]*))?', ['s', 'h', 'p', 'path', 'q']) AS x FROM a), "
+    "q AS (SELECT page_id, list_sort(list_filter(list_transform(list_filter(string_split(x.q, '&'), lambda y: y <> ''), lambda y: {'k': url_decode(replace(split_part(y, '=', 1), '+', ' ')), 'v': url_decode(replace(CASE WHEN contains(y, '=') THEN substr(y, strpos(y, '=') + 1) ELSE '' END, '+', ' '))}), lambda y: NOT (lower(y.k) IN ('cmpid', 'fbclid', 'gclid', 'igshid', 'ref', 'spm') OR starts_with(lower(y.k), 'utm_')))) AS kv, x FROM p) "
+    "SELECT page_id, CASE WHEN x.s <> '' THEN 'https://' || regexp_replace(lower(x.h), '^www\\.', '') || CASE WHEN x.p <> '' AND x.p NOT IN ('80', '443') THEN ':' || x.p ELSE '' END || CASE WHEN regexp_replace(x.path, '/+$', '') = '' THEN '/' ELSE regexp_replace(x.path, '/+$', '') END || CASE WHEN len(kv) > 0 THEN '?' || array_to_string(list_transform(kv, lambda y: replace(url_encode(y.k), '%20', '+') || '=' || replace(url_encode(y.v), '%20', '+')), '&') ELSE '' END END AS url FROM q"
+)
+def article_urls(spark, d):
+    """One spelling of each page's address, however it was written; null where it is none."""
+    i, u = F.col("page_id") % 6, F.col("url")
+    at = lambda port: F.regexp_replace(u, "^(https?://[^/]+)", f"$1:{port}")
+    written = (
+        F.when(i == 0, F.replace(u, F.lit("https://"), F.lit("HTTP://"))).when(i == 1, F.concat(F.replace(u, F.lit("https://"), F.lit("http://WWW.")), F.lit("/?b=2&a=x%20y&utm_source=q&ref=1")))
+        .when(i == 2, F.concat(F.lit("ftp://x/"), F.col("page_id").cast("string"))).when(i == 3, F.concat(at(8080), F.lit("?z=&Fbclid=3&k"))).when(i == 4, F.concat(at(443), F.lit("//#top"))).otherwise(F.concat(u, F.lit("?q=a+b&q=%C3%A9~")))
+    )
+    return table(spark, d, "pages").select("page_id", T.article_url(written).alias("url"))
