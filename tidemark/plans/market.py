@@ -67,6 +67,22 @@ def theme_turnover(spark, d):
     return _turnover(spark, d).select("theme_id", "bucket", "day_number", "total", "valid", "high", r6("multiple").alias("multiple"), "status")
 
 
+# by trading days: weekdays on which anything traded, numbered; the look-back counts these
+_TRADED = _TURN.replace("date_diff('day', DATE '2024-01-01', ts::DATE) AS day_number", "any_value(c.n) AS day_number").replace("FROM events GROUP BY 1, 2, 3),\nmem", "FROM events JOIN cal c ON c.day = ts::DATE GROUP BY 1, 2, c.n),\nmem")
+
+
+@query(f"WITH cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS n FROM (SELECT DISTINCT ts::DATE AS day FROM events WHERE isodow(ts) < 6)), {_TRADED} SELECT theme_id, bucket, cal.day, total, valid, high, round(multiple, 6) AS multiple, status FROM turn JOIN cal ON cal.n = day_number")
+def theme_turnover_by_trading_days(spark, d):
+    """Turnover against the same time of the last trading days, not calendar days."""
+    e = table(spark, d, "events")
+    day = F.to_date("ts").alias("day")
+    # one row a trading day
+    cal = e.where(F.weekday("ts") < 5).select(day).distinct().withColumn("day_number", F.row_number().over(metrics.Window.orderBy("day")) - 1)
+    v = e.withColumn("day", day).join(cal, "day").groupBy(F.col("user_id").alias("stock_id"), F.floor(F.hour("ts") / 6).alias("bucket"), F.col("day_number").cast("long").alias("day_number")).agg(F.sum("value").alias("value"), (F.count_if(F.col("event_type") == "error") < 2).alias("usable"))
+    m = e.select((F.col("user_id") % 12).alias("theme_id"), F.col("user_id").alias("stock_id"), (F.col("user_id") % 9).alias("since")).distinct()
+    return M.theme_turnover(v, m).join(cal, "day_number").select("theme_id", "bucket", "day", "total", "valid", "high", r6("multiple").alias("multiple"), "status")
+
+
 _ATT = f"{_TURN}, daily_v AS (SELECT user_id % 12 AS theme_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day_number, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT theme_id, day_number, s / lag(s) OVER (PARTITION BY theme_id ORDER BY day_number) - 1 AS weighted_return, CASE WHEN n >= 10 THEN 'SUFFICIENT' ELSE 'PARTIAL' END AS coverage FROM daily_v), att AS (SELECT turn.*, r.weighted_return, r.coverage, CASE WHEN coverage <> 'SUFFICIENT' THEN 'INSUFFICIENT_COVERAGE' WHEN multiple IS NULL OR weighted_return IS NULL OR valid < 3 THEN 'INSUFFICIENT_OBSERVATIONS' END AS reason FROM turn JOIN r USING (theme_id, day_number)), sig AS (SELECT *, CASE WHEN reason IS NULL THEN multiple >= 2 AND high >= 2 AND high / valid >= 0.3::DOUBLE AND weighted_return >= 0.01::DOUBLE END AS is_attention FROM att)"
 
 
