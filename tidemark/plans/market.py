@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import market as M
 from ..operators import metrics, timeseries
 from ..sources.tables import daily_prices, members, table
-from .queries import _DAILY, _MEMBERS, _weights, query, r6
+from .queries import _DAILY, _MEMBERS, _METRICS, _RET, _weights, query, r6
 from .reference import _OBS, AT, DECISION, at, decision, observations
 
 # references: the newest row of side O of each stock that was effective by the quarter; observations: of side F
@@ -39,6 +39,19 @@ def theme_quality(spark, d):
     return g.select("theme_id", "total", "valid", "flags", "reasons", F.when(F.col("valid") > 0, F.col("up")).alias("advancing"), "median_return")
 
 
+@query(
+    f"WITH {_ROWS}, {_METRICS.replace(_RET, 'ret AS (SELECT stock_id, ret FROM guarded WHERE ret IS NOT NULL)')}, q AS (SELECT theme_id, coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), '') AS flags, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason), '') AS reasons, list(stock_id || ':' || flag ORDER BY stock_id) FILTER (flag IS NOT NULL) AS issues FROM guarded GROUP BY 1) "
+    "SELECT theme_id, total, core, metrics.valid, advancing, round(core_ratio, 6) AS core_ratio, round(total_ratio, 6) AS total_ratio, round(breadth, 6) AS breadth, round(weighted_return, 6) AS weighted_return, round(median_return, 6) AS median_return, status, flags, reasons, coalesce(array_to_string(issues, ','), '') AS issues FROM metrics JOIN q USING (theme_id)"
+)
+def theme_report(spark, d):
+    """All metrics of a theme at the decision in one row: returns that passed the guards, coverage, breadth, flags, reasons and the member behind each flag."""
+    g = _guarded(spark, d)
+    m = metrics.theme_metrics(members(spark, d), g.where("ret is not null").select("stock_id", "ret"))
+    issues = F.transform(F.array_sort(F.collect_list(F.when(F.col("flag").isNotNull(), F.struct("stock_id", "flag")))), lambda x: F.concat(x["stock_id"].cast("string"), F.lit(":"), x["flag"]))
+    q = g.groupBy("theme_id").agg(F.array_join(F.sort_array(F.collect_set("flag")), ",").alias("flags"), F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"), F.array_join(issues, ",").alias("issues"))
+    return m.join(q, "theme_id").select("theme_id", "total", "core", "valid", "advancing", *[r6(c).alias(c) for c in ("core_ratio", "total_ratio", "breadth", "weighted_return", "median_return")], "status", "flags", "reasons", "issues")
+
+
 @query(f"WITH {_MEMBERS}, {_weights('members')}, r AS (SELECT *, round(weight, 4) AS w, round(1 - sum(round(weight, 4)) OVER (PARTITION BY theme_id), 4) AS residual, max(lim) OVER (PARTITION BY theme_id) AS most FROM weighted), f AS (SELECT *, min(CASE WHEN CASE WHEN residual > 0 THEN w + residual <= most + 1e-12 ELSE w + residual >= 0 END THEN stock_id END) OVER (PARTITION BY theme_id) AS first_id FROM r) SELECT theme_id, stock_id, round(CASE WHEN stock_id = first_id THEN w + residual ELSE w END, 4) AS weight FROM f")
 def weights_with_residual(spark, d):
     n = F.count("*").over(metrics.Window.partitionBy("theme_id"))
