@@ -13,13 +13,15 @@ def capped_weights(members: DataFrame, cap: float = CAP) -> DataFrame:
     """Adds weight: in proportion to cap value, none above max(cap, 1/n) of its theme; what is cut goes to the rest.
 
     Closed form of the repeated proposal: in order of value, a member is fixed at the limit as long as its share of
-    what its predecessors left is above the limit; the others share the remainder. One sort a theme.
+    what its predecessors left is above the limit; the others share the remainder. Sums run along a theme's order, what is
+    left of it from its end, so that no row reads the others again.
     """
     down = Window.partitionBy("theme_id").orderBy(F.col("cap").desc(), "stock_id")
+    up = Window.partitionBy("theme_id").orderBy(F.col("cap").asc_nulls_first(), F.col("stock_id").desc_nulls_last())
     every = Window.partitionBy("theme_id")
     m = members.withColumn("n", F.count("*").over(every)).withColumn("limit", F.greatest(F.lit(cap), 1 / F.col("n"))).withColumn("i", F.row_number().over(down))
-    m = m.withColumn("rest", F.sum("cap").over(down.rowsBetween(0, Window.unboundedFollowing)))
-    m = m.withColumn("fixed", F.col("cap") * (1 - (F.col("i") - 1) * F.col("limit")) > F.col("limit") * F.col("rest"))
+    m = m.withColumn("rest", F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("fixed", F.coalesce(F.col("cap") * (1 - (F.col("i") - 1) * F.col("limit")) > F.col("limit") * F.col("rest"), F.lit(False)))
     m = m.withColumn("fixed", F.min("fixed").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     m = m.withColumn("k", F.sum(F.col("fixed").cast("int")).over(every)).withColumn("free", F.sum(F.when(~F.col("fixed"), F.col("cap"))).over(every))
     return m.withColumn("weight", F.when(F.col("fixed"), F.col("limit")).otherwise(F.try_divide(F.col("cap") * (1 - F.col("k") * F.col("limit")), F.col("free")))).drop("n", "limit", "i", "rest", "fixed", "k", "free")
