@@ -29,3 +29,11 @@ def test_relevance_by_joins(spark):
     assert "arrays_overlap(stocks" not in plan(r) and "array_intersect" not in plan(r)
     got = {(x["news_id"], x["theme_id"]): (x["score"], x["counts"]) for x in r.collect()}
     assert got == {(1, 7): (1.0, True), (2, 7): (0.5, True), (3, 8): (0.35, False), (4, 7): (0.6, True), (6, 7): (0.6, True)}
+
+
+def test_movers_at_a_bound(spark, tmp_path):
+    """0.04 and 0.06 are 0.05 in the mean, whatever the order in which their doubles are added."""
+    day = datetime(1998, 1, 5)
+    spark.createDataFrame([(1, "A", x, day) for x in (0.06, 0.04)], "l_partkey long, l_returnflag string, l_discount double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "B")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in reads.q_day_movers_by_section(spark, str(tmp_path)).collect()] == [(date(1998, 1, 5), "A", 1, 0, "")]
