@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from tidemark.operators import linking, metrics
+from tidemark.operators import dictionary, linking, metrics
 from tidemark.plans import reads
 
 
@@ -37,3 +37,15 @@ def test_movers_at_a_bound(spark, tmp_path):
     spark.createDataFrame([(1, "A", x, day) for x in (0.06, 0.04)], "l_partkey long, l_returnflag string, l_discount double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, "B")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert [tuple(r) for r in reads.q_day_movers_by_section(spark, str(tmp_path)).collect()] == [(date(1998, 1, 5), "A", 1, 0, "")]
+
+
+def test_a_spelling_has_windows_by_validity_not_by_company(spark):
+    """However many companies share a name, a text meets a few windows; the statuses stay as they are by all companies."""
+    old, new = (date(2000, 1, 1), date(2000, 12, 31)), (date(2001, 1, 1), date(2001, 12, 31))
+    rows = [("Big Name", f"{i:06d}", *(old, (None, date(1999, 1, 1)))[i % 2], True) for i in range(3000)] + [("big name", "x", *new, False), ("big  name", "x", *new, True), ("Lone", None, None, None, True), ("Both", None, None, None, True), ("both", "y", None, None, True)]
+    rows += [("N" * 60, "long", None, None, True)]
+    a = spark.createDataFrame(rows, "alias string, code string, valid_from date, valid_to date, known boolean")
+    assert max(len(r["windows"]) for r in dictionary.names(a).collect()) == 3
+    texts = [(1, "BIG NAME은 Lone both", date(2000, 5, 5)), (2, "a Big Name", date(2001, 5, 5)), (3, "big name", date(2005, 1, 1)), (4, "n" * 60 + " " + "n" * 61, None), (5, "bigname big", None)]
+    got = {r["text_id"]: [tuple(x) for x in r["spans"]] for r in dictionary.mentions(spark.createDataFrame(texts, "text_id long, text string, as_of date"), a).collect()}
+    assert got == {1: [(0, 8, "big name", "AMBIGUOUS_ALIAS", None), (10, 14, "lone", "RESOLVED", None), (15, 19, "both", "AMBIGUOUS_ALIAS", None)], 2: [(2, 10, "big name", "RESOLVED", "x")], 3: [(0, 8, "big name", "OUT_OF_VALIDITY", None)], 4: [(0, 60, "n" * 60, "RESOLVED", "long")]}
