@@ -44,3 +44,21 @@ def test_relations(spark):
     ]
     assert got[2] == [("DESCRIPTION", "테마시황", 0, "Rise", None, None, None, None), ("SECTION_DETAIL", "테마시황", 1, "테마시황", None, None, None, None), ("SECTION_DETAIL", "테마시황", 2, "테마시황", None, None, None, None)]
     assert got[5] == [("THEME_STOCK", None, None, None, "000009", None, None, None)] and set(got) == {1, 2, 5}
+
+
+def test_plain_pages_read_once(spark):
+    """A page passes through one reader, without a shuffle, and plain tags need no tolerant parser; both readers see the same."""
+    plain = "- One -<p>a &amp; b<table><tr><td rowspan=2><a href='/s?x=1&code=000001'>S</a><td>1<tr><td>2</table>"
+    odd = ["<!-- c -->" + plain, plain.upper(), plain.replace("&code", "&amp;code"), plain + "<script>x < y</script>", plain + "<td a='1>2'>z", plain + " < z", "<br/>" + plain]
+    r = boards._Reader()
+    assert r.read(plain)
+    for html in odd:
+        assert not boards._Reader().read(html)
+    tolerant = boards._Reader()
+    tolerant.feed(plain)
+    tolerant.close()
+    assert boards.elements_of(plain) == tolerant.out == r.out
+    assert boards.elements_of(odd[0]) == boards.elements_of(odd[2]) == r.out
+    pages = spark.createDataFrame([(1, plain), (2, "<p>x : y")], "page_id long, html string")
+    plan = boards.relations(pages)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "exchange" not in plan and plan.count("mapinarrow") == 1

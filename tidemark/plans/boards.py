@@ -22,7 +22,8 @@ UNION ALL SELECT o_orderkey, 'SECTION_DETAIL', '테마시황', 1, '테마시황'
 def board_rows(spark, d):
     """Pages read back: sections, details and rows, with themes that span rows."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
-    l = table(spark, d, "lineitem").where("l_orderkey % 10 <> 3").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    # an order's lines come together once; what follows keeps to that
+    l = table(spark, d, "lineitem").where("l_orderkey % 10 <> 3").join(p, F.col("l_partkey") == F.col("p_partkey")).repartition("l_orderkey")
     theme_rate = F.format_string("%+.2f%%", F.length("p_brand") / 4.0)
     n, first = F.count("*").over(Window.partitionBy("l_orderkey", "l_returnflag", "p_brand")), F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag", "p_brand").orderBy("l_linenumber", "l_partkey"))
     # end tags of cells are left out in every third order
