@@ -37,3 +37,14 @@ def test_values_of_sentences(spark):
     want = {i: [(f, t, Decimal(v), u, b, s) for f, t, v, u, b, s in facts] for i, (_, facts) in enumerate(CASES) if facts}
     assert got == want
     assert values.value_facts(texts.limit(0)).count() == 0
+
+
+def test_texts_are_read_once_and_nothing_is_shuffled(spark):
+    """What keeps a span is settled where a text's matches are together, not by joining them with themselves."""
+    texts = spark.createDataFrame([(1, "1조 2,000억원 공급, 3만 2000톤 생산"), (1, "2,000억원 공급")], "text_id long, text string")
+    facts = values.value_facts(texts)
+    plan = facts._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("mapinarrow") == 1 and "exchange" not in plan and "join" not in plan
+    assert sorted(r["reported"] for r in facts.collect()) == ["1조 2,000억원", "2,000억원", "3만 2000톤"]
+    many = values._facts_of("5조 3억원 공급 " * 400)
+    assert len(many) == 400 and {x[1] for x in many} == {"KRW_COMPOUND"}

@@ -1,11 +1,13 @@
 """Amounts in sentences: patterns in a fixed order claim spans, and the words around a span say what it is, what it stands for and whether it adds up.
 
-A small helper finds the patterns' matches with their offsets; every rule about them is a column expression.
+A small helper finds the patterns' matches with their offsets, says what they are and lets the earlier pattern keep a span that two match: a text's
+matches are together there, so nothing is shuffled and texts are read once. What a value is, stands for and adds up to are column expressions.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,23 +39,93 @@ RANKED = ("세계", "국내", "글로벌", "아시아")
 SUM_BLOCKED = ("해지", "무산", "취소", "철회", "백지화", "사실무근")
 APPROXIMATE = r"(?<![가-힣A-Za-z0-9])약\s*(?=[0-9가-힣])"
 _AROUND, _NUMBER = 44, "decimal(38,6)"
-_COMPILED = tuple((name, group, re.compile(p)) for name, group, p in PATTERNS)
+# signs without which a pattern finds nothing
+_SIGNS = {"KRW_COMPOUND": "조억원", "JO_FOREIGN": "조억", "EOK_FOREIGN": "억만", "PERCENT": "%", "TON_COMPOUND": "만톤"}
+_COMPILED = tuple((k, name, group, _SIGNS.get(name, ""), re.compile(p)) for k, (name, group, p) in enumerate(PATTERNS))
+_any = lambda *words: re.compile("|".join(words)).search
+_not_a_deal, _funding, _stake, _lost_power, _ranked = _any(*NOT_A_DEAL), _any(*FUNDING), _any(*STAKE), _any(*LOST_POWER), _any(*RANKED)
+_abstract = re.compile(rf"[ \t\n\x0b\f\r]*(?:{'|'.join((*ABSTRACT, *ORDINAL_TAILS))})").match
+_parenthetical, _digit = re.compile(r"\([^)]*\)"), re.compile(r"\d").search
+
+
+def _deal(left: str, right: str) -> str | None:
+    """CONTRACT_VALUE or INVESTMENT_VALUE by the marker nearest to the amount, parenthetical parts left out; none for what is no deal."""
+    before, after = (_parenthetical.sub("", c) if "(" in c else c for c in (left, right))
+    if _not_a_deal(before[-16:]) or _funding(before[-12:] + after[:16]):
+        return None
+    window, pivot = (before[-28:] + "|" + after[:36]).replace("공급망", ""), len(before[-28:])
+    found = []
+    for fact, markers in DEALS:
+        for marker in markers:
+            # the last one that starts before the amount, the first one that doesn't
+            if (i := window.rfind(marker, 0, pivot - 1 + len(marker))) >= 0:
+                found.append((pivot - i - len(marker), fact))
+            if (i := window.find(marker, pivot)) >= 0:
+                found.append((i - pivot, fact))
+    away, fact = min(found, default=(99, None))
+    return fact if away <= 18 else None
+
+
+def _fact(name: str, group: str, reported: str, unit: str, left: str, right: str) -> str | None:
+    if group == "money":
+        return _deal(left, right)
+    if name == "PERCENT":
+        return "STAKE_PERCENT" if left[-2:] not in ("(+", "(-") and _stake(left[-16:] + reported + right[:12]) else None
+    if group == "capacity":
+        return "CAPACITY" if name == "TON_COMPOUND" or not _lost_power(left[-12:] + reported + right[:12]) else None
+    return "QUANTITY" if not _abstract(right[:12]) and left[-1:] != "제" and not (unit == "대" and _ranked(left[-4:])) else None
+
+
+def _facts_of(text: str) -> list[tuple]:
+    """Pattern, claim group, start, end, fact, matched text, its parts, and what is around it, of every match that is a fact and keeps its span."""
+    out: list[tuple] = []
+    if not _digit(text):
+        return out
+    for k, name, group, signs, pattern in _COMPILED:
+        if signs and not all(sign in text for sign in signs):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            left, right = text[max(0, a - _AROUND) : a], text[b : b + _AROUND]
+            first, second, unit = (*m.groups(""), "", "")[:3]
+            if fact := _fact(name, group, m[0], unit, left, right):
+                out.append((k, name, group, a, b, fact, m[0], first, second, unit, left[-16:], right[:12]))
+    if len(out) < 2:
+        return out
+    # the earlier pattern of a claim group keeps a span that both match; a later one is kept out even by one that lost its own
+    spans: dict[str, list] = {}
+    for x in out:
+        if x[2] in ("money", "capacity"):
+            spans.setdefault(x[2], []).append((x[3], x[4], x[0]))
+    ordered = {group: _Spans(found) for group, found in spans.items()}
+    return [x for x in out if x[2] not in ordered or not ordered[x[2]].taken(x[3], x[4], x[0])]
+
+
+class _Spans:
+    """Spans of a claim group by pattern. Those of one pattern don't overlap, so that of all that start before an end the last one alone can reach a start."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        self.by: dict[int, tuple[list[int], list[int]]] = {}
+        for a, b, k in found:
+            starts, ends = self.by.setdefault(k, ([], []))
+            starts.append(a)
+            ends.append(b)
+
+    def taken(self, a: int, b: int, k: int) -> bool:
+        return any(other < k and (i := bisect_left(starts, b)) and ends[i - 1] > a for other, (starts, ends) in self.by.items())
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a match: pattern's number, offsets, matched text and parts, and what is around it."""
+    types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 7)
     for batch in batches:
         row, out = [], []
         for i, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-            for k, (name, group, pattern) in enumerate(_COMPILED):
-                for m in pattern.finditer(text or ""):
-                    row.append(i)
-                    a, b = m.span()
-                    out.append((k, name, group, a, b, m[0], m[1], (*m.groups(), "", "")[1] or "", (*m.groups(), "", "")[2] or "", text[max(0, a - _AROUND) : a], text[b : b + _AROUND]))
+            if text and (found := _facts_of(text)):
+                row += [i] * len(found)
+                out += found
         rest = batch.drop_columns(["text"]).take(pa.array(row, pa.int64()))
-        types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6)
-        cols = [pa.array([r[j] for r in out], t) for j, t in enumerate(types)]
-        yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, "pattern", "name", "claims", "start", "end", "reported", "first", "second", "unit", "left", "right"])
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)]
+        yield pa.RecordBatch.from_arrays([*rest.columns, *cols], names=[*rest.schema.names, "pattern", "name", "claims", "start", "end", "fact", "reported", "first", "second", "unit", "left", "right"])
 
 
 def _has(text: Column, *words: str) -> Column:
@@ -70,23 +142,6 @@ def basis(window: Column) -> Column:
     )
 
 
-def _deal() -> Column:
-    """CONTRACT_VALUE or INVESTMENT_VALUE by the marker nearest to the amount, parenthetical parts left out; null for what is no deal."""
-    before, after = (F.regexp_replace(c, r"\([^)]*\)", "") for c in ("left", "right"))
-    window = F.replace(F.concat(F.right(before, F.lit(28)), F.lit("|"), F.left(after, F.lit(36))), F.lit("공급망"), F.lit(""))
-    pivot = F.length(F.right(before, F.lit(28)))
-
-    def candidates(marker: str, fact: str) -> Column:
-        size = len(marker)
-        places = F.filter(F.sequence(F.lit(0), F.length(window) - 1), lambda i: F.substring(window, i + 1, F.lit(size)) == marker)
-        return F.transform(places, lambda i: F.struct(F.when(i < pivot, pivot - (i + size)).otherwise(i - pivot).alias("away"), F.lit(fact).alias("fact")))
-
-    found = [candidates(marker, fact) for fact, markers in DEALS for marker in markers]
-    nearest = F.array_min(F.filter(F.concat(*found), lambda x: x["away"] <= 18))
-    refused = _has(F.right(before, F.lit(16)), *NOT_A_DEAL) | _has(F.concat(F.right(before, F.lit(12)), F.left(after, F.lit(16))), *FUNDING)
-    return F.when(~refused, nearest["fact"])
-
-
 def _decimal(c: str) -> Column:
     return F.replace(F.col(c), F.lit(","), F.lit("")).try_cast(_NUMBER)
 
@@ -97,24 +152,9 @@ def value_facts(texts: DataFrame) -> DataFrame:
     Texts of any length are read whole; null and empty ones give no rows; a value that no decimal(38,6) holds is null."""
     blocked = _has(F.col("text"), *SUM_BLOCKED)
     kind = dict(texts.dtypes)["text_id"]
-    schema = f"text_id {kind}, blocked boolean, pattern int, name string, claims string, start int, end int, reported string, first string, second string, unit string, left string, right string"
+    schema = f"text_id {kind}, blocked boolean, pattern int, name string, claims string, start int, end int, fact string, reported string, first string, second string, unit string, left string, right string"
     m = texts.select("text_id", blocked.alias("blocked"), "text").mapInArrow(_find, schema)
-    name, near = F.col("name"), F.concat(F.right("left", F.lit(16)), F.col("reported"), F.left("right", F.lit(12)))
-    close = F.concat(F.right("left", F.lit(12)), F.col("reported"), F.left("right", F.lit(12)))
-    tail = F.ltrim(F.regexp_replace(F.left("right", F.lit(12)), r"^\s+", ""))
-    counted = ~F.rlike(tail, F.lit(f"^(?:{'|'.join((*ABSTRACT, *ORDINAL_TAILS))})")) & ~F.endswith("left", F.lit("제")) & ~((F.col("unit") == "대") & _has(F.right("left", F.lit(4)), *RANKED))
-    fact = (
-        F.when(F.col("claims") == "money", _deal())
-        .when((name == "PERCENT") & ~F.right("left", F.lit(2)).isin("(+", "(-") & _has(near, *STAKE), "STAKE_PERCENT")
-        .when((name == "TON_COMPOUND") | ((name == "CAPACITY") & ~_has(close, *LOST_POWER)), "CAPACITY")
-        .when((name == "QUANTITY") & counted, "QUANTITY")
-    )
-    m = m.withColumn("fact", fact).where("fact is not null")
-    # the earlier pattern of a claim group keeps a span that both match
-    others = m.where("claims in ('money', 'capacity')").groupBy("text_id", "claims").agg(F.collect_list(F.struct("pattern", "start", "end")).alias("others"))
-    m = m.join(others, ["text_id", "claims"], "left")
-    taken = F.exists("others", lambda o: (o["pattern"] < F.col("pattern")) & (o["start"] < F.col("end")) & (F.col("start") < o["end"]))
-    m = m.where(~F.coalesce(taken, F.lit(False)))
+    name, near = F.col("name"), F.concat("left", "reported", "right")
     first, second = _decimal("first"), F.coalesce(_decimal("second"), F.lit(0).cast(_NUMBER))
     times = lambda c, n: (c * F.lit(n).cast("decimal(14,0)")).cast(_NUMBER)
     scaled = F.when(F.col("second") == "조", times(first, SCALES["조"])).when(F.col("second") == "억", times(first, SCALES["억"])).when(F.col("second") == "만", times(first, SCALES["만"])).otherwise(first)

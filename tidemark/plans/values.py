@@ -73,7 +73,8 @@ SELECT id AS order_id, s AS start, e AS end_at, fact, reported,
 @query(_SQL)
 def sentence_values(spark, d):
     """Amounts, stakes, capacities and quantities of every sentence, with their offsets."""
-    o = table(spark, d, "orders")
+    # a file's row group is one task: orders are spread before their sentences are made
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice").repartition("o_orderkey")
     n = (1000 + F.floor("o_totalprice")).cast("long").cast("string")
     comma = F.concat(F.substring(n, F.lit(1), F.length(n) - 3), F.lit(","), F.right(n, F.lit(3)))
     number = F.when(F.floor(F.col("o_orderkey") / len(SENTENCES)) % 2 == 0, n).otherwise(comma)
