@@ -3,7 +3,7 @@
 from datetime import date, datetime
 
 from tidemark.operators import cases, dictionary, linking, metrics
-from tidemark.plans import reads
+from tidemark.plans import history, reads
 
 
 def plan(df):
@@ -67,3 +67,8 @@ def test_similar_cases_make_no_rows_by_sets_or_leaders(spark):
     made = [line for line in plan(x).splitlines() if "generate explode" in line]
     assert made and all("explode(types" in line for line in made)
     assert [(r["similar_id"], round(r["score"], 6), r["has_more"]) for r in x.where("id = 9").orderBy("place").collect()] == [(2, 1.0, True), (1, 1.0, True)]
+
+
+def test_outcomes_of_events_come_together_once(spark):
+    x = plan(history.q_company_outcome(spark, "/root/testdata/sf0.001"))
+    assert x.count("lineitem.parquet") == 2 and x.count("hashpartitioning(company") == 1

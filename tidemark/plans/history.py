@@ -50,10 +50,11 @@ def q_company_outcome(spark, d):
     """Per event of a company: returns five closes later, their upper median and how many rose."""
     f = timeseries.forward_returns(daily_prices(spark, d)).select("stock_id", "day", F.col("fwd_5").alias("ret")).where("ret is not null")
     l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("company"), F.col("l_orderkey").alias("event"), F.col("l_partkey").alias("stock_id"), F.to_date("l_shipdate").alias("day"))
-    e = l.join(f, ["stock_id", "day"])
-    rose = e.groupBy("company", "event").agg(F.count_if(F.col("ret") > 0).alias("positive"))
-    middle = research.at_fraction(e, ["company", "event"], "ret", {"upper_median": 0.5})
-    return rose.join(middle, ["company", "event"]).select("company", "event", F.col("n").alias("observed"), "positive", r6("upper_median").alias("upper_median"))
+    # an event's returns, in order, come together once; however many there are, sorting them spills
+    of, e = Window.partitionBy("company", "event"), l.join(f, ["stock_id", "day"])
+    e = e.withColumn("i", F.row_number().over(of.orderBy("ret"))).withColumn("n", F.count("*").over(of))
+    g = e.groupBy("company", "event").agg(F.max("n").alias("observed"), F.count_if(F.col("ret") > 0).alias("positive"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2) + 1, F.col("ret"))).alias("middle"))
+    return g.select("company", "event", "observed", "positive", r6("middle").alias("upper_median"))
 
 
 @query("SELECT l_suppkey AS company, p_brand AS theme_id, concat_ws('|', " + ", ".join(f"CASE WHEN bool_or(l_returnflag = '{r}') THEN '{r}' END" for r in ROLES) + ") AS roles, count(DISTINCT l_orderkey) AS catalysts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
