@@ -3,7 +3,7 @@
 from datetime import date, datetime
 
 from tidemark.operators import cases, dictionary, linking, metrics
-from tidemark.plans import history, reads
+from tidemark.plans import history, periods, reads
 
 
 def plan(df):
@@ -69,6 +69,13 @@ def test_similar_cases_make_no_rows_by_sets_or_leaders(spark):
     assert [(r["similar_id"], round(r["score"], 6), r["has_more"]) for r in x.where("id = 9").orderBy("place").collect()] == [(2, 1.0, True), (1, 1.0, True)]
 
 
+def test_texts_and_questions_are_spread(spark):
+    """A row group of a file is one task: what is done with its rows has more."""
+    d = "/root/testdata/sf0.001"
+    for x in (periods._questions(spark, d),):
+        assert "hashpartitioning" in plan(x)
+
+
 def test_outcomes_of_events_come_together_once(spark):
     x = plan(history.q_company_outcome(spark, "/root/testdata/sf0.001"))
     assert x.count("lineitem.parquet") == 2 and x.count("hashpartitioning(company") == 1

@@ -100,7 +100,7 @@ def _bounds() -> tuple[Column, Column, Column]:
 
 def _claimed(found: Column) -> Column:
     """Of found (place, start, end, ...) those that overlap none taken before, in order of place, then start."""
-    ordered = F.array_sort(found, lambda a, b: F.when(a["place"] != b["place"], a["place"] - b["place"]).otherwise(a["start"] - b["start"]))
+    ordered = F.array_sort(found)  # by its first fields
     overlaps = lambda acc, x: F.exists(acc, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
     return F.aggregate(ordered, F.filter(ordered, lambda x: F.lit(False)), lambda acc, x: F.when(overlaps(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
 

@@ -60,7 +60,8 @@ iv AS (SELECT nn.* FROM nn JOIN cl USING (id, n) WHERE mine)"""
 
 
 def _questions(spark, d):
-    o = table(spark, d, "orders")
+    # a file's row group is one task: orders are spread before their questions are made
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition("o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     sentence = F.get(F.array(*map(F.lit, QUESTIONS)), (k % len(QUESTIONS)).cast("int"))
     parts = (("{y}", F.year("o_orderdate")), ("{m}", k % 14), ("{d}", k % 33), ("{k}", c % 14), ("{n}", c % 997))
