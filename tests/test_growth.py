@@ -2,8 +2,11 @@
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
+from tidemark.functions import events
 from tidemark.operators import cases, dictionary, linking, metrics
-from tidemark.plans import history, periods, reads
+from tidemark.plans import history, periods, reads, textual
 
 
 def plan(df):
@@ -69,10 +72,19 @@ def test_similar_cases_make_no_rows_by_sets_or_leaders(spark):
     assert [(r["similar_id"], round(r["score"], 6), r["has_more"]) for r in x.where("id = 9").orderBy("place").collect()] == [(2, 1.0, True), (1, 1.0, True)]
 
 
+def test_marks_are_compiled(spark):
+    """Marks of a sentence are found without lambda functions, which aren't compiled and make anew what they go over."""
+    t = spark.createDataFrame([(1, "of the der with aux again or by war is"), (2, ""), (3, None)], "id int, s string")
+    x = t.select("id", events.types(F.col("s")).alias("t"), events.certainty(F.col("s")).alias("c"), events.direction(F.col("s")).alias("d"), events.continuation(F.col("s")).alias("k"), events.stage(F.col("s")).alias("g"), events.action(F.col("s")).alias("a"))
+    assert "lambda" not in plan(x)
+    got = {r["id"]: (r["t"], r["c"], r["d"], r["k"], r["g"], r["a"]["marker"]) for r in x.where("s is not null").collect()}
+    assert got == {1: (["CONTRACT", "POLICY"], "CONFIRMED", "UP", "again", "COMPLETED", None), 2: (["OTHER"], "UNSPECIFIED", "UNKNOWN", None, "UNSPECIFIED", None)}
+
+
 def test_texts_and_questions_are_spread(spark):
     """A row group of a file is one task: what is done with its rows has more."""
     d = "/root/testdata/sf0.001"
-    for x in (periods._questions(spark, d),):
+    for x in (textual.causes(spark, d), periods._questions(spark, d)):
         assert "hashpartitioning" in plan(x)
 
 

@@ -29,7 +29,8 @@ def cause_sentence(text: Column) -> Column:
 def types(text: Column, vocabulary: tuple = TYPES) -> Column:
     """Names whose markers claim a span, in rank order; FALLBACK alone without any."""
     claimed = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(alternation(vocabulary)), 1))
-    named = F.array_compact(F.array(*[F.when(F.arrays_overlap(claimed, F.array(*map(F.lit, ms))), F.lit(name)) for name, ms in vocabulary]))
+    # no lambda functions here and below: they aren't compiled, and what they go over is made anew for every use
+    named = F.array_except(F.array(*[F.when(F.arrays_overlap(claimed, F.array(*map(F.lit, ms))), F.lit(name)) for name, ms in vocabulary]), F.array(F.lit(None).cast("string")))
     return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(FALLBACK)))
 
 
@@ -51,8 +52,9 @@ def last_end(text: Column, marker: str) -> Column:
 def rightmost(text: Column, vocabulary: tuple, otherwise: str) -> Column:
     """The name whose marker ends last; the longer marker on ties, then the earlier rank."""
     low = F.lower(text)
-    found = F.array(*[F.struct(last_end(low, m).alias("end"), F.lit(len(m)).alias("size"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, ms) in enumerate(vocabulary) for m in ms])
-    return F.coalesce(F.array_max(F.filter(found, lambda x: x["end"].isNotNull()))["name"], F.lit(otherwise))
+    end = {m: last_end(low, m) for _, ms in vocabulary for m in ms}
+    found = F.array(*[F.when(end[m].isNotNull(), F.struct(end[m].alias("end"), F.lit(len(m)).alias("size"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))) for i, (name, ms) in enumerate(vocabulary) for m in ms])
+    return F.coalesce(F.array_max(found)["name"], F.lit(otherwise))
 
 
 def certainty(text: Column) -> Column:
@@ -71,8 +73,8 @@ def direction(text: Column) -> Column:
 def continuation(text: Column) -> Column:
     """The earliest marker that this goes on from before; null without any."""
     low = F.lower(text)
-    found = F.array(*[F.struct(F.nullif(F.locate(m, low), F.lit(0)).alias("at"), F.lit(m).alias("marker")) for m in CONTINUATION])
-    return F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))["marker"]
+    found = F.array(*[F.when(F.locate(m, low) > 0, F.struct(F.locate(m, low).alias("at"), F.lit(m).alias("marker"))) for m in CONTINUATION])
+    return F.array_min(found)["marker"]
 
 
 def stage(text: Column) -> Column:
@@ -84,8 +86,8 @@ def stage(text: Column) -> Column:
 def action(text: Column) -> Column:
     """marker and object: the earliest action marker (longest on ties) and the text before it; nulls without any."""
     low = F.lower(text)
-    found = F.array(*[F.struct(F.nullif(F.locate(m, low), F.lit(0)).alias("at"), F.lit(-len(m)).alias("shorter"), F.lit(m).alias("marker")) for m in ACTIONS])
-    first = F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))
+    found = F.array(*[F.when(F.locate(m, low) > 0, F.struct(F.locate(m, low).alias("at"), F.lit(-len(m)).alias("shorter"), F.lit(m).alias("marker"))) for m in ACTIONS])
+    first = F.array_min(found)
     return F.struct(F.trim(first["marker"]).alias("marker"), F.trim(F.substring(text, F.lit(1), first["at"] - 1)).alias("object"))
 
 

@@ -36,7 +36,8 @@ _LABELS = f"{_CAUSES}, labelled AS (SELECT doc_id, lang, place, {_sql_types('s')
 
 
 def causes(spark, d):
-    docs = table(spark, d, "documents")
+    # a file's row group is one task: texts are spread before they are taken apart
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")
     s = docs.select("doc_id", "lang", F.posexplode(F.split("text", r"[.;!?\n]+")).alias("place", "s")).withColumn("s", F.trim("s"))
     return s.where("length(s) > 0").withColumn("place", F.col("place").cast("long"))
 
