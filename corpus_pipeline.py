@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, pii, quality, sketches
-from tidemark.llm.common import stage, table
+from tidemark.llm.common import by_sorting, stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     else:
         other = F.shiftrightunsigned(F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()), 2) + F.lit(1 << 62)
         own = F.when(F.col("least").isNull() | (h == F.col("least")), F.col("doc_id")).otherwise(other)
-        keyed = stage(rows.join(shared, "doc_id", "left").select("row", own.alias("doc_id"), "text"))
+        keyed = stage(rows.join(by_sorting(shared), "doc_id", "left").select("row", own.alias("doc_id"), "text"))
     kept = sketches.near_duplicates(keyed).where("kept").select("doc_id").distinct()
     sorted_by = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name != "text" and f.dataType.typeName() not in ("map", "variant")]
     least = Window.partitionBy("doc_id").orderBy(*sorted_by, "text")
-    one = keyed.join(kept, "doc_id", "left_semi").withColumn("place", F.row_number().over(least)).where("place = 1").select("row.*")
+    one = keyed.join(by_sorting(kept), "doc_id", "left_semi").withColumn("place", F.row_number().over(least)).where("place = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -57,7 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     met = mixing.passes(docs).where("size > 0").groupBy("doc_id", "source", "size", "pass")
     taken = met.agg(F.avg((F.col("used") * 2 >= F.col("size")).cast("int")).alias("part"), F.min("first_slot").alias("slot")).where("part >= 0.5")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), words.alias("n"))
-    copies = rows.join(taken, F.expr("id <=> doc_id and of <=> source and n = size"))
+    copies = rows.join(by_sorting(taken), F.expr("id <=> doc_id and of <=> source and n = size"))
     return copies.repartitionByRange("slot", "id").sortWithinPartitions("slot", "id").select("row.*")
 
 

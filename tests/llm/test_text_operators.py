@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, curves, mixing, packing, pages, pii, quality, repeats, sketches, voronoi
+from tidemark.llm import chat, common, components, curves, mixing, packing, pages, pii, quality, repeats, sketches, voronoi
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -661,3 +661,21 @@ def test_personal_data_in_a_long_text_full_of_hints(spark):
     got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
     assert (got[1]["n_email"], got[1]["n_phone"], got[1]["n_ip"]) == (8_000, 8_000, 8_000)
     assert got[2]["spans"] == got[3]["spans"] == ""
+
+
+def test_near_duplicates_send_no_table_that_grows_through_the_driver(spark, docs, monkeypatch):
+    """Small files look small enough to be broadcast, whatever an explode makes of them: only the bitmap of ids, which has a bound, may be."""
+    import corpus_pipeline
+
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stage(df)
+
+    for m in (sketches, components, corpus_pipeline):
+        monkeypatch.setattr(m, "stage", planned)
+    planned(corpus_pipeline.near_duplicate_stage(spark, docs, ""))
+    planned(sketches.near_duplicates(docs))
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len(plans) > 20 and all("[word#" in line for line in sent)

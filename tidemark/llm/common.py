@@ -41,6 +41,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both sides. For tables that grow with the input: Spark sizes them by their files, which are
+    compressed, and takes an explode for one row each, so it may send a table whole through the driver that is many times what it took it for."""
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import by_sorting, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,10 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = stage(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")))
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("component").alias("near"))
-        met = labels.join(near, labels["v"] == near["a"], "left").select("v", "component", F.least("component", "near").alias("to"))
+        near = both.join(by_sorting(labels), both["b"] == labels["v"]).groupBy("a").agg(F.min("component").alias("near"))
+        met = labels.join(by_sorting(near), labels["v"] == near["a"], "left").select("v", "component", F.least("component", "near").alias("to"))
         jump = labels.select(F.col("v").alias("to"), F.col("component").alias("far"))
-        new = stage(met.join(jump, "to", "left").select("v", "component", F.least("to", F.coalesce("far", "to")).alias("to")))
+        new = stage(met.join(by_sorting(jump), "to", "left").select("v", "component", F.least("to", F.coalesce("far", "to")).alias("to")))
         labels = new.select("v", F.col("to").alias("component"))
         if new.where("to <> component").limit(1).count() == 0:
             return labels

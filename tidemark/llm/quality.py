@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import Batches, columns, rows_out, stage, texts
+from .common import Batches, by_sorting, columns, rows_out, stage, texts
 
 THRESHOLD = 0.3
 #: Parts of the pooled covariance and of its diagonal in a class covariance.
@@ -108,7 +108,7 @@ def fold(doc_id: str = "doc_id"):
 def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     """From the labelled rows whose fold isn't 0. Labels other than 0 and 1 are left out; only sums reach the driver."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = stats.join(known.where(fold() != 0), "doc_id").select("quality", "stats").mapInArrow(_moments, "quality int, sums array<double>")
+    rows = stats.join(by_sorting(known.where(fold() != 0)), "doc_id").select("quality", "stats").mapInArrow(_moments, "quality int, sums array<double>")
     sums = rows.select("quality", F.posexplode("sums")).groupBy("quality", "pos").agg(F.sum("col").alias("v")).collect()
     out = {c: np.zeros(1 + D + D * D) for c in (0, 1)}
     for r in sums:

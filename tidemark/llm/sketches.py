@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, columns, mixed, rows_out, stage, texts, window_hashes, word_hashes
+from .common import Batches, by_sorting, columns, mixed, rows_out, stage, texts, window_hashes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -168,12 +168,12 @@ def _confirmed(batches: Batches) -> Batches:
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text of the documents whose doc_id is among ids (one long column), and of few others.
 
-    A bitmap of _FILTER_BITS bits an id, 16 MB at most, leaves most other texts out before any shuffle; for more ids than _FILTER_IDS
+    A bitmap of _FILTER_BITS bits an id, 16 MB of bits at most (the one table here that is broadcast), leaves most other texts out before any shuffle; for more ids than _FILTER_IDS
     a semi-join does.
     """
     n = ids.count()
     if n > _FILTER_IDS:
-        return texts(docs).where("doc_id is not null and text is not null").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi")
+        return texts(docs).where("doc_id is not null and text is not null").join(by_sorting(ids.toDF("doc_id").distinct()), "doc_id", "left_semi")
     bits_in_all = 1 << max(16, (n * _FILTER_BITS - 1).bit_length())
     h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits_in_all))
     word, bit = F.shiftright(h, 6), (h % 64).cast("int")
@@ -186,7 +186,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b those whose whole sets are alike enough."""
     whole = _texts_of(pairs.select("a").union(pairs.select("b")), docs)
     left, right = whole.toDF("a", "ta"), whole.toDF("b", "tb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long")
+    return pairs.join(by_sorting(left), "a").join(by_sorting(right), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long")
 
 
 def _longer(batches: Batches) -> Batches:
@@ -237,33 +237,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     band: Column = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = classes.select("rep", "registers", band.alias("band")).select(F.expr(f"xxhash64(band, substring(registers, {ROWS} * band + 1, {ROWS}))").alias("key"), "band", "rep")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = stage(keys.join(shared, "key"))
+    buckets = stage(keys.join(by_sorting(shared), "key"))
 
     degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
-    centres = buckets.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("centre"))
-    star = stage(buckets.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
+    centres = buckets.join(by_sorting(degree), "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("centre"))
+    star = stage(buckets.join(by_sorting(centres), "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct())
     few = classes.select("rep", "n", "registers")
-    likely = stage(star.join(few.toDF("a", "na", "ra"), "a").join(few.toDF("b", "nb", "rb"), "b").mapInArrow(_likely, "a long, b long").distinct())
+    likely = stage(star.join(by_sorting(few.toDF("a", "na", "ra")), "a").join(by_sorting(few.toDF("b", "nb", "rb")), "b").mapInArrow(_likely, "a long, b long").distinct())
     links = stage(_links(likely, docs))
     found = components(links)
 
-    held = buckets.where("size > 2").join(found, buckets["rep"] == found["v"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    held = buckets.where("size > 2").join(by_sorting(found), buckets["rep"] == found["v"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     parts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     several = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("total")).where("parts > 1")
-    opened = stage(held.join(several.select("key", "total", F.col("most.component").alias("largest")), "key"))
+    opened = stage(held.join(by_sorting(several.select("key", "total", F.col("most.component").alias("largest"))), "key"))
     whole = _texts_of(opened.select("rep").distinct(), docs).withColumnRenamed("doc_id", "rep")
-    longer = opened.select("rep").distinct().join(classes.select("rep", "registers"), "rep").join(whole, "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
+    longer = opened.select("rep").distinct().join(by_sorting(classes.select("rep", "registers")), "rep").join(by_sorting(whole), "rep").mapInArrow(_longer, "rep long, registers binary").groupBy("rep").agg(F.first("registers").alias("registers"))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / _BLOCK))
     member = F.struct("rep", "component", "n", "registers")
-    blocks = stage(opened.join(classes.select("rep", "n"), "rep").join(longer, "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members"), F.ceil(F.first("total") / _SPREAD).alias("spread")))
+    blocks = stage(opened.join(by_sorting(classes.select("rep", "n")), "rep").join(by_sorting(longer), "rep").groupBy("key", "band", block.alias("block"), (F.col("component") != F.col("largest")).alias("outside")).agg(F.collect_list(member).alias("members"), F.ceil(F.first("total") / _SPREAD).alias("spread")))
     # a large bucket's members are dealt over several tasks; its odd blocks, never more of them, go to each
     odd = blocks.where("outside").select("key", "band", F.col("members").alias("odd"), F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
     dealt = blocks.select("key", "members", F.pmod(F.xxhash64("block", "outside"), F.col("spread")).alias("salt"))
-    pairs = stage(odd.join(dealt, ["key", "salt"]).mapInArrow(_block_pairs, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    pairs = stage(odd.join(by_sorting(dealt), ["key", "salt"]).mapInArrow(_block_pairs, "a long, b long").distinct().join(by_sorting(star), ["a", "b"], "left_anti"))
     more = stage(_links(pairs, docs))
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
-    rep = classes.select("digest", "rep").join(found, F.col("rep") == found["v"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.select("doc_id", "n_shingles", "digest").join(rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    rep = classes.select("digest", "rep").join(by_sorting(found), F.col("rep") == found["v"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    joined = rows.select("doc_id", "n_shingles", "digest").join(by_sorting(rep), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
