@@ -32,10 +32,11 @@ oc AS (SELECT id, h::BIGINT AS horizon, CASE h WHEN 1 THEN h1 WHEN 5 THEN h5 ELS
 def _cases(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_returnflag").alias("type")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    first = l.where("l_linenumber <= 4").groupBy("l_orderkey", "type").agg(F.min("l_linenumber").alias("f"))
-    types = first.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "type"))), lambda x: x["type"]).alias("types"))
-    leaders = l.where("l_linenumber <= 3 or l_orderkey % 17 = 0").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("leaders"))
-    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey").join(types, "l_orderkey").join(leaders, "l_orderkey", "left")
+    # one grouping for both: types in the order of their first lines
+    types = F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") <= 4, F.struct("l_linenumber", "type")))).getField("type"))
+    leaders = F.collect_set(F.when(F.expr("l_linenumber <= 3 or l_orderkey % 17 = 0"), F.col("p_brand")))
+    lines = l.groupBy("l_orderkey").agg(types.alias("types"), leaders.alias("leaders"))
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey").join(lines, "l_orderkey")
     direction = F.when(F.col("o_orderstatus") == "O", "UP").when(F.col("o_orderstatus") == "F", "DOWN").otherwise("UNKNOWN")
     certainty = F.when(F.col("o_orderpriority") == "5-LOW", "UNSPECIFIED").when(F.col("o_orderpriority") == "1-URGENT", "CONFIRMED").otherwise("EXPECTED")
     return o.select(F.col("l_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("theme"), F.to_date("o_orderdate").alias("day"), "types", direction.alias("direction"), certainty.alias("certainty"), "leaders")
