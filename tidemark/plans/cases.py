@@ -70,4 +70,4 @@ def similar_case_outcomes(spark, d):
     """What became of the cases most like each case: by horizon how many, how many observed, how many rose, and the median."""
     m = _members(spark, d)
     known = m.select("id", F.when((F.col("l_linenumber") % 2 == 0) & (F.col("id") % 9 != 0), F.col("stock_id")).alias("stock_id"), "day")
-    return C.outcome_summaries(C.similar_cases(_cases(spark, d)), C.case_outcomes(known, _prices(spark, d))).withColumn("median", r6(2 * F.col("median")) / 2)  # means of two 6-place numbers: exact at twice their size
+    return C.similar_outcomes(_cases(spark, d), C.case_means(known, _prices(spark, d))).withColumn("median", r6(2 * F.col("median")) / 2)  # means of two 6-place numbers: exact at twice their size
